@@ -11,10 +11,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrain.functions import urls as U
+from sitegrain.plans.staging import Staging
+from sitegrain.sources.tables import read_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
+
+
+def pages_for_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page table, spread over the cores where its files have too few splits."""
+    return read_table(spark, f"{sf_dir}/pages.parquet", spread_by="page_id")
+
+
+def documents_for_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, f"{sf_dir}/documents.parquet", spread_by="doc_id")
 
 
 def by_turn(key: str, *options: Column | str) -> Column:
@@ -122,7 +133,7 @@ def framed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<iframe src="about:blank"></iframe>',
         '<frame src="/*/x">',
     )
-    return table(spark, sf_dir, "pages").select("page_id", F.concat("html", frame).alias("html"))
+    return pages_for_parsing(spark, sf_dir).select("page_id", F.concat("html", frame).alias("html"))
 
 
 def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +147,7 @@ def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redirecting_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that redirect to their neighbour by one of the four rules, to themselves,
     to nowhere, or not at all: ``page_id, url, html``."""
-    pages = table(spark, sf_dir, "pages")
+    pages = pages_for_parsing(spark, sf_dir)
     n = pages.count()
     to = pages.select(F.col("page_id").alias("_id"), F.col("url").alias("to"))
     joined = pages.join(to, (F.col("page_id") + 1) % n == F.col("_id"))
@@ -151,7 +162,8 @@ def redirecting_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('<head><meta content="0;url=http://gone.example.com/x"></head>'), h),
         h,
     )
-    return joined.select("page_id", "url", body.alias("html"))
+    # Written out, as a snapshot would be: the queries search the body many times.
+    return Staging(spark, "redirecting").write(joined.select("page_id", "url", body.alias("html")), "pages")
 
 
 def event_results(spark: SparkSession, sf_dir: str) -> DataFrame:

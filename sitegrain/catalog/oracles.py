@@ -274,7 +274,7 @@ ORACLES: dict[str, str] = {
     "blank_pages": "SELECT page_id FROM pages WHERE page_id % 3 = 2 AND length(html) > 0",
     "decode_pages": "SELECT doc_id, text FROM documents",
     "content_fingerprint": "SELECT md5(text) AS md5, min(doc_id) AS kept, count(*) AS n FROM documents GROUP BY 1",
-    "content_hook": "SELECT page_id, upper(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS page_text FROM pages",
+    "content_hook": "SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS page_text FROM pages",
     "pattern_hits": """SELECT doc_id, item_id,
         cast((length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text) AS BIGINT) AS hits
         FROM documents d JOIN benchmark b ON contains(d.text, b.text)""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrain.catalog import inputs as I
-from sitegrain.catalog.inputs import table
+from sitegrain.catalog.inputs import pages_for_parsing, table
 from sitegrain.functions import urls as U
 from sitegrain.functions.html import addresses
 from sitegrain.operators import (
@@ -152,8 +152,10 @@ def pages_by_site_domain(spark, d):
 
 @query
 def ip_links(spark, d):
-    texts = table(spark, d, "documents").select("text").unionAll(table(spark, d, "pages").select("html"))
-    return urls.ip_link_report(texts.select(F.explode(addresses(F.col("text"))).alias("link")))
+    texts = (
+        I.documents_for_parsing(spark, d).select("text").unionAll(pages_for_parsing(spark, d).select("html"))
+    )
+    return urls.ip_link_report(texts.select(F.explode(addresses("text")).alias("link")))
 
 
 @query
@@ -168,7 +170,7 @@ def url_filter(spark, d):
 
 @query
 def links_anchor(spark, d):
-    return links.anchor_links(table(spark, d, "pages"))
+    return links.anchor_links(pages_for_parsing(spark, d))
 
 
 @query
@@ -178,8 +180,8 @@ def links_frame(spark, d):
 
 @query
 def text_urls(spark, d):
-    pages = links.text_urls(table(spark, d, "pages"), "page_id", "html")
-    documents = links.text_urls(table(spark, d, "documents"), "doc_id", "text")
+    pages = links.text_urls(pages_for_parsing(spark, d), "page_id", "html")
+    documents = links.text_urls(I.documents_for_parsing(spark, d), "doc_id", "text")
     return pages.select(F.col("page_id").alias("id"), "url").unionAll(documents)
 
 
@@ -195,7 +197,7 @@ def links_extension_filter(spark, d):
 
 @query
 def links_distinct(spark, d):
-    return links.distinct_links(links.anchor_links(table(spark, d, "pages")))
+    return links.distinct_links(links.anchor_links(pages_for_parsing(spark, d)))
 
 
 @query
@@ -214,7 +216,7 @@ def links_in_scope(spark, d):
 
 def _scoped(level: int) -> Query:
     def run(spark, d):
-        return links.extract_links(table(spark, d, "pages"), level)
+        return links.extract_links(pages_for_parsing(spark, d), level)
 
     return run
 
@@ -225,8 +227,8 @@ for _level in links.LEVELS:
 
 @query
 def page_links(spark, d):
-    pages = table(spark, d, "pages")
-    found = F.filter(links.page_links(F.col("html"), F.col("html"), F.col("url")), lambda l: l["scope"] == 0)
+    pages = pages_for_parsing(spark, d)
+    found = F.filter(links.page_links("html", "html", "url"), lambda l: l["scope"] == 0)
     return (
         pages.select(U.host_of(F.col("url")).alias("host"), F.size(found).cast("bigint").alias("k"))
         .groupBy("host")
@@ -266,13 +268,13 @@ def content_fingerprint(spark, d):
 @query
 def content_hook(spark, d):
     pages = table(spark, d, "pages").select("page_id", F.col("html").alias("page_text"))
-    return quality.apply_hook(pages, lambda t: F.upper(F.regexp_extract(t, "<h1>([^<]*)</h1>", 1)))
+    return quality.apply_hook(pages, lambda t: F.regexp_extract(t, "<h1>([^<]*)</h1>", 1))
 
 
 @query
 def pattern_hits(spark, d):
     benchmark = table(spark, d, "benchmark")
-    found = patterns.match_patterns(table(spark, d, "documents"), benchmark, "doc_id", "text", pattern="text")
+    found = patterns.match_patterns(I.documents_for_parsing(spark, d), benchmark, "doc_id", "text", pattern="text")
     items = benchmark.select("item_id", F.col("text").alias("pattern"))
     return found.join(items, "pattern").select("doc_id", "item_id", "hits")
 
@@ -341,7 +343,7 @@ def crawl_results(spark, d):
 
 @query
 def crawl_pages(spark, d):
-    pages = table(spark, d, "pages").select("url", "html")
+    pages = pages_for_parsing(spark, d).select("url", "html")
     visits = crawl(pages.select("url"), pages, max_depth=1).visits
     return visits.groupBy("task", "depth", "outcome").agg(F.count("*").alias("n"))
 

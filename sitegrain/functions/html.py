@@ -9,6 +9,7 @@ needs no deep stack.
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -33,11 +34,15 @@ LINK_ATTRIBUTES = (
     rf"|<(?:a(?=[\s/]){_up_to('href')}|i?frame(?=[\s/]){_up_to('src')})({_ATTR})"
 )
 
-# Fixed value: the address pattern, with its first word anchored at the word start
-# so that a long dotless word is read once.
+# Fixed value: the address pattern. It starts at the beginning of a word, so that a long
+# dotless word is read once; a scheme is recognised by looking back from its colon. A
+# word with letters glued in front of the scheme is therefore found too long, and
+# ``addresses`` cuts the letters off.
 _WORD = r"[\p{L}\p{N}_\-]"
+_SCHEME = r"(?:ht|f)tps?"
 _TAIL = r"(?:[\p{L}\p{N}_\-.,@?^=%&:/~+#]*[\p{L}\p{N}_\-@?^=%&/~+#])?"
-ADDRESS = rf"(?:(?:ht|f)tps?://|(?<!{_WORD})){_WORD}++\.{_WORD}+{_TAIL}"
+ADDRESS = rf"(?<!{_WORD}){_WORD}++(?:(?<={_SCHEME})://{_WORD}++)?\.{_WORD}+{_TAIL}"
+_GLUED = rf"^{_WORD}+?(?={_SCHEME}://{_WORD})"
 
 
 def _code_point(n: Column) -> Column:
@@ -117,31 +122,33 @@ def keep_frame(link: Column) -> Column:
     return ~(strip(link).isin("", "about:blank") | link.contains("*"))
 
 
-def anchors(html: Column) -> Column:
+@lru_cache
+def anchors(html: str) -> Column:
     """Anchor links of a page, in page order."""
-    return F.transform(
-        F.filter(link_attributes(html), lambda e: (e["kind"] == "a") & keep_anchor(e["link"])),
-        lambda e: e["link"],
-    )
+    kept = F.filter(link_attributes(F.col(html)), lambda e: (e["kind"] == "a") & keep_anchor(e["link"]))
+    return kept["link"]
 
 
-def frames(html: Column) -> Column:
+@lru_cache
+def frames(html: str) -> Column:
     """Frame sources of a page, in page order."""
-    return F.transform(
-        F.filter(link_attributes(html), lambda e: (e["kind"] == "frame") & keep_frame(e["link"])),
-        lambda e: e["link"],
-    )
+    kept = F.filter(link_attributes(F.col(html)), lambda e: (e["kind"] == "frame") & keep_frame(e["link"]))
+    return kept["link"]
 
 
-def markup_links(html: Column) -> Column:
+@lru_cache
+def markup_links(html: str) -> Column:
     """Anchor links and frame sources from a single walk over the markup."""
     kept = F.filter(
-        link_attributes(html),
+        link_attributes(F.col(html)),
         lambda e: F.when(e["kind"] == "a", keep_anchor(e["link"])).otherwise(keep_frame(e["link"])),
     )
-    return F.transform(kept, lambda e: e["link"])
+    return kept["link"]
 
 
-def addresses(text: Column) -> Column:
+def addresses(text: str) -> Column:
     """Every address-like word of a text (``a.b``, ``http://a.b/c``, ``1.2.3.4`` …)."""
-    return F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(0))
+    found = F.regexp_extract_all(F.col(text), F.lit(ADDRESS), F.lit(0))
+    return F.transform(
+        found, lambda a: F.when(a.contains("://"), F.regexp_replace(a, _GLUED, "")).otherwise(a)
+    )

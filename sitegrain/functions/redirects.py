@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,31 +30,47 @@ ANY_MARKER = r"(?i)url=|location|navigate"
 
 def _quoted(text: Column, *patterns: str) -> Column:
     """Target of the first pattern that matches at all; null without a match."""
-    found = F.coalesce(*[blank_to_null(F.regexp_extract(text, p, 1)) for p in patterns])
-    return let(found, lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
+
+    def search(t: Column) -> Column:
+        found = F.coalesce(*[blank_to_null(F.regexp_extract(t, p, 1)) for p in patterns])
+        return let(found, lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
+
+    return let(text, search)
 
 
-def _block(html: Column, pattern: str, max_chars: int) -> Column:
+def _block(html: Column, pattern: str, start: str, end: str, max_chars: int) -> Column:
     """Text of the first matching block if it is short enough, null if it is not, and
     the whole page where there is no such block."""
-    text = strip(F.replace(F.regexp_extract(html, pattern, 1), F.lit("\r\n"), F.lit("")))
-    return F.when(
-        html.rlike(pattern), let(text, lambda t: F.when(F.length(t) <= max_chars, t))
-    ).otherwise(html)
-
-
-def redirect_candidates(html: Column, url: Column) -> Column:
-    """Array of ``(kind, target)`` in the order they are tried, self-targets left out."""
-    head = F.regexp_extract(html, HEAD, 1)
-    trails = [
-        ("meta", F.regexp_extract(head, META, 1)),
-        ("onload", _quoted(F.regexp_extract(head, ONLOAD, 1), *SCRIPT_CALLS)),
-        ("body_script", _quoted(_block(html, BODY, BODY_SCRIPT_MAX_CHARS), *SCRIPT_CALLS)),
-        ("script", _quoted(_block(html, SCRIPT, HEAD_SCRIPT_MAX_CHARS), LOCATION)),
-    ]
-    found = F.array(
-        *[F.struct(F.lit(k).alias("kind"), blank_to_null(strip(t)).alias("trail")) for k, t in trails]
-    )
+
+    def inside(block: Column) -> Column:
+        inner = F.substring(block, F.lit(len(start) + 1), F.length(block) - len(start) - len(end))
+        text = strip(F.replace(inner, F.lit("\r\n"), F.lit("")))
+        return F.when(block == "", html).otherwise(let(text, lambda t: F.when(F.length(t) <= max_chars, t)))
+
+    return let(F.regexp_extract(html, pattern, 0), inside)
+
+
+@lru_cache
+def redirect_candidates(html_column: str, url_column: str) -> Column:
+    """Array of ``(kind, target)`` in the order they are tried, self-targets left out;
+    never null. Most pages fail the first, cheap test and skip the rest."""
+    html, url = F.col(html_column), F.col(url_column)
+
+    def trails(head: Column) -> Column:
+        tried = [
+            ("meta", F.regexp_extract(head, META, 1)),
+            ("onload", _quoted(F.regexp_extract(head, ONLOAD, 1), *SCRIPT_CALLS)),
+            (
+                "body_script",
+                _quoted(_block(html, BODY, "<body", "</body>", BODY_SCRIPT_MAX_CHARS), *SCRIPT_CALLS),
+            ),
+            ("script", _quoted(_block(html, SCRIPT, "<script>", "</script>", HEAD_SCRIPT_MAX_CHARS), LOCATION)),
+        ]
+        return F.array(
+            *[F.struct(F.lit(k).alias("kind"), blank_to_null(strip(t)).alias("trail")) for k, t in tried]
+        )
+
+    found = let(F.regexp_extract(html, HEAD, 1), trails)
 
     def resolve(parts: Column) -> Column:
         return F.transform(

@@ -7,7 +7,7 @@ streams. ``explode`` comes last.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,31 +26,33 @@ def check_level(level: int) -> int:
 
 def anchor_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Distinct anchor links per page, as written."""
-    return pages.select(key, F.explode(F.array_distinct(H.anchors(F.col(html)))).alias("link"))
+    return pages.select(key, F.explode(F.array_distinct(H.anchors(html))).alias("link"))
 
 
 def frame_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Distinct frame and iframe sources per page, as written."""
-    return pages.select(key, F.explode(F.array_distinct(H.frames(F.col(html)))).alias("link"))
+    return pages.select(key, F.explode(F.array_distinct(H.frames(html))).alias("link"))
 
 
 def text_urls(df: DataFrame, key: str, text: str) -> DataFrame:
     """Distinct address-like words per text."""
-    return df.select(key, F.explode(F.array_distinct(H.addresses(F.col(text)))).alias("url"))
+    return df.select(key, F.explode(F.array_distinct(H.addresses(text))).alias("url"))
 
 
+@lru_cache
 def page_links(
-    html: Column,
-    text: Column,
-    url: Column,
+    html: str,
+    text: str,
+    url: str,
     keep_port: bool = False,
     strict_resolve: bool = False,
 ) -> Column:
-    """Distinct completed links of a page: array of ``(link, scope)``."""
+    """Distinct completed links of a page: array of ``(link, scope)``. The arguments name
+    columns. A built expression is kept, as it has some hundred nodes."""
     raw = F.array_distinct(F.concat(H.markup_links(html), H.addresses(text)))
     wanted = F.filter(F.coalesce(raw, F.array().cast("array<string>")), U.is_page_link)
     return U.let(
-        U.page_base(url, keep_port),
+        U.page_base(F.col(url), keep_port),
         lambda page: F.transform(
             F.array_distinct(F.transform(wanted, lambda x: U.complete_link(page, x, strict_resolve))),
             lambda x: F.struct(x.alias("link"), U.link_scope(page, x).alias("scope")),
@@ -71,7 +73,7 @@ def extract_links(
     """``(key, link)``: anchors, frames and address-like words of each page, without
     links to listed file types, completed, distinct, and inside ``level``."""
     check_level(level)
-    links = page_links(F.col(html), F.col(text or html), F.col(url), keep_port, strict_resolve)
+    links = page_links(html, text or html, url, keep_port, strict_resolve)
     return (
         pages.select(key, F.explode(links).alias("l"))
         .filter(F.col("l.scope") <= level)

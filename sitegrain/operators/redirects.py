@@ -14,10 +14,11 @@ def detect_redirects(
     pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html"
 ) -> DataFrame:
     """``(key, kind, target)`` of each page's first redirect."""
-    return (
-        pages.select(key, F.get(redirect_candidates(F.col(html), F.col(url)), F.lit(0)).alias("r"))
-        .filter(F.col("r").isNotNull())
-        .select(key, F.col("r.kind").alias("kind"), F.col("r.target").alias("target"))
+    # A generator, not a filter on the first candidate: Spark would move the filter
+    # below the extraction and run it twice.
+    first = F.slice(redirect_candidates(html, url), 1, 1)
+    return pages.select(key, F.explode(first).alias("r")).select(
+        key, F.col("r.kind").alias("kind"), F.col("r.target").alias("target")
     )
 
 
@@ -29,12 +30,12 @@ def follow_redirects(pages: DataFrame, url: str = "url", html: str = "html") ->
     in ``pages`` must be unique. Pages without a redirect pass through without a
     shuffle; the lookups move keys, and bodies only for the pages that do redirect.
     """
-    tried = pages.withColumn("_tried", redirect_candidates(F.col(html), F.col(url)))
-    here = F.coalesce(F.size("_tried"), F.lit(0)) == 0
-    unmoved = tried.filter(here).drop("_tried").withColumn("redirect_kind", F.lit(None).cast("string"))
-    moving = tried.filter(~here)
+    candidates = redirect_candidates(html, url)
+    stays = F.size(candidates) == 0
+    unmoved = pages.filter(stays).withColumn("redirect_kind", F.lit(None).cast("string"))
+    moving = pages.filter(~stays)
 
-    targets = moving.select(F.col(url).alias("_from"), F.posexplode("_tried").alias("pos", "r")).select(
+    targets = pages.select(F.col(url).alias("_from"), F.posexplode(candidates).alias("pos", "r")).select(
         "_from", "pos", "r.kind", U.url_key(F.col("r.target")).alias("url_key")
     )
     chosen = (
@@ -46,8 +47,7 @@ def follow_redirects(pages: DataFrame, url: str = "url", html: str = "html") ->
     )
     bodies = pages.select(F.col(url).alias("_target"), F.col(html).alias("_body"))
     moved = (
-        moving.drop("_tried")
-        .join(chosen, F.col(url) == F.col("_from"), "left")
+        moving.join(chosen, F.col(url) == F.col("_from"), "left")
         .join(bodies, F.col("page_url") == F.col("_target"), "left")
         .withColumn(html, F.coalesce("_body", html))
     )

@@ -67,7 +67,7 @@ def page_graph(
         F.when(is_blank(html), "blank").when(is_useless(html, phrases, max_chars), "useless").otherwise("kept")
     )
     staged = pages.select("url", U.url_key(url).alias("url_key"), state.alias("page_state"), "html")
-    links = page_links(html, html, url, keep_port, strict_resolve)
+    links = page_links("html", "html", "url", keep_port, strict_resolve)
     return staged.filter(F.col("url_key").isNotNull()).select(
         "url_key",
         "url",
@@ -95,6 +95,18 @@ def _seed_frontier(seeds: DataFrame, max_depth: int, level: int) -> DataFrame:
     return seeds.select(task.alias("task"), "url", U.url_key(F.col("url")).alias("url_key"), *limits).distinct()
 
 
+def _deepest(seeds: DataFrame, max_depth: int) -> int:
+    """Largest depth asked for; also checks the levels of a seed table that has them."""
+    if "level" in seeds.columns:
+        known = F.coalesce(F.col("level").isin(*LEVELS), F.lit(False))
+        if not seeds.filter(~known).isEmpty():
+            raise ValueError(f"seed levels must be among {LEVELS}")
+    if "max_depth" not in seeds.columns:
+        return max_depth
+    found = seeds.agg(F.max("max_depth")).first()[0]
+    return 0 if found is None else found
+
+
 def crawl(
     seeds: DataFrame,
     pages: DataFrame,
@@ -121,8 +133,8 @@ def crawl(
     looks the rest up in the page index, and expands the kept pages through the graph.
     Each round is staged, so a lost executor costs one round at most, and its size is
     known to the planner. Joins on ``url_key`` are left to adaptive execution, which
-    broadcasts a small frontier and splits a key that many tasks visit at once. The
-    driver only learns whether a frontier is empty.
+    broadcasts a small side and splits a key that many tasks visit at once. The driver
+    only learns whether a round is empty.
     """
     check_level(level)
     staging = Staging(seeds.sparkSession, "crawl")
@@ -132,20 +144,17 @@ def crawl(
 
     graph = staging.write(page_graph(pages, phrases, max_chars, keep_port, strict_resolve), "graph")
     index = staging.write(page_index(graph, "url", "page_state"), "index")
-    frontier = staging.write(_seed_frontier(drop_denied(seeds, **denied), max_depth, level), "frontier-0")
-    if not frontier.filter(~F.coalesce(F.col("level").isin(*LEVELS), F.lit(False))).isEmpty():
-        raise ValueError(f"seed levels must be among {LEVELS}")
-    deepest = frontier.agg(F.max("max_depth")).first()[0]
+    frontier = _seed_frontier(seeds, max_depth, level)
+    deepest = _deepest(seeds, max_depth)
 
     rounds: list[DataFrame] = []
-    depth = 0
-    while deepest is not None and (depth == 0 or not frontier.isEmpty()):
-        done = staging.write(_visit(frontier, rounds, index, depth), f"round-{depth}")
-        rounds.append(done)
-        if depth >= deepest:
-            break
-        depth += 1
-        frontier = staging.write(drop_denied(_expand(done, graph, depth), **denied), f"frontier-{depth}")
+    for depth in range(deepest + 1):
+        if rounds:
+            if rounds[-1].isEmpty():
+                break
+            frontier = _expand(rounds[-1], graph, depth)
+        done = _visit(drop_denied(frontier, **denied), rounds, index, depth)
+        rounds.append(staging.write(done, f"round-{depth}"))
 
     columns = VISITS.fieldNames()
     empty = seeds.sparkSession.createDataFrame([], VISITS)
@@ -154,45 +163,43 @@ def crawl(
 
 
 def _visit(frontier: DataFrame, rounds: list[DataFrame], index: DataFrame, depth: int) -> DataFrame:
-    """Outcome of every frontier URL of a round."""
-    limits = ["level", "max_depth"]
-    valid = rank_arrivals(frontier.filter(F.col("url_key").isNotNull()))
+    """Outcome of every frontier URL of a round.
+
+    A URL without a key takes part under a name of its own that matches nothing: as
+    nulls such rows would all meet in one partition.
+    """
+    arrived = rank_arrivals(
+        frontier.withColumnRenamed("url_key", "valid_key").withColumn(
+            "url_key", F.coalesce("valid_key", F.concat(F.lit("invalid:"), "url"))
+        )
+    )
     if rounds:
         seen = reduce(
             DataFrame.unionByName,
-            [
-                r.filter(F.col("outcome").isin("success", "failed")).select("task", "url_key")
-                for r in rounds
-            ],
+            [r.filter(F.col("outcome").isin("success", "failed")).select("task", "url_key") for r in rounds],
         ).withColumn("seen", F.lit(True))
-        valid = valid.join(seen, ["task", "url_key"], "left")
+        arrived = arrived.join(seen, ["task", "url_key"], "left")
     else:
-        valid = valid.withColumn("seen", F.lit(None).cast("boolean"))
-    tried = valid.join(index, "url_key", "left")
-    repeat = (F.col("arrival") > 1) | F.col("seen").isNotNull()
+        arrived = arrived.withColumn("seen", F.lit(None).cast("boolean"))
     outcome = (
-        F.when(repeat, "duplicate").when(F.col("page_url").isNull(), "failed").otherwise("success")
+        F.when(F.col("valid_key").isNull(), "invalid")
+        .when((F.col("arrival") > 1) | F.col("seen").isNotNull(), "duplicate")
+        .when(F.col("page_url").isNull(), "failed")
+        .otherwise("success")
     )
-    fetched = tried.withColumn("outcome", outcome).select(
+    fetched = arrived.join(index, "url_key", "left").withColumn("outcome", outcome)
+    success = F.col("outcome") == "success"
+    return fetched.select(
         "task",
         "url",
-        "url_key",
+        F.col("valid_key").alias("url_key"),
+        F.lit(depth).alias("depth"),
         "outcome",
-        F.when(F.col("outcome") == "success", F.col("page_state")).alias("page_state"),
-        F.when(F.col("outcome") == "success", F.col("page_url")).alias("page_url"),
-        *limits,
-    )
-    # URLs without a key never meet a join: as nulls they would share one partition.
-    invalid = frontier.filter(F.col("url_key").isNull()).select(
-        "task",
-        "url",
-        "url_key",
-        F.lit("invalid").alias("outcome"),
-        F.lit(None).cast("string").alias("page_state"),
-        F.lit(None).cast("string").alias("page_url"),
-        *limits,
+        F.when(success, F.col("page_state")).alias("page_state"),
+        F.when(success, F.col("page_url")).alias("page_url"),
+        "level",
+        "max_depth",
     )
-    return fetched.unionByName(invalid).withColumn("depth", F.lit(depth))
 
 
 def _expand(done: DataFrame, graph: DataFrame, depth: int) -> DataFrame:

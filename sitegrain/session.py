@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Long column expressions build faster without recording a call site per node.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Page rows are wide: keep Arrow batches small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
