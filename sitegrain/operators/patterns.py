@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,14 +67,17 @@ def _search(df: DataFrame, phrases: list[str], schema: T.StructType) -> DataFram
     automaton.make_automaton()
     shared = spark.sparkContext.broadcast(automaton)
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, found, hits = [], [], []
-            for k, t in zip(batch[key], batch[text]):
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts = Counter(p for _, p in shared.value.iter(t)) if t else {}
                 keys += [k] * len(counts)
                 found += counts.keys()
                 hits += counts.values()
-            yield pd.DataFrame({key: pd.Series(keys, dtype=batch[key].dtype), "pattern": found, "hits": hits})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, batch.column(0).type), pa.array(found, pa.string()), pa.array(hits, pa.int64())],
+                [key, "pattern", "hits"],
+            )
 
-    return df.mapInPandas(search, schema)
+    return df.mapInArrow(search, schema)
