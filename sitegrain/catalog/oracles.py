@@ -369,7 +369,7 @@ ORACLES: dict[str, str] = {
           (SELECT url || repeat('x', cast(page_id % 300 AS INT)) AS u FROM pages))""",
     "saved_pages": f"""SELECT {host('url')} AS host, count(*) AS pages, cast(sum(length(html)) AS BIGINT) AS chars
         FROM pages WHERE length(html) > 0 GROUP BY 1""",
-    "result_batches": f"SELECT {host('url')} AS task, count(*) AS n FROM pages GROUP BY 1",
+    "result_batches": f"SELECT {host('url')} AS task, url, md5(html) AS body_md5 FROM pages",
     # streams
     "stream_tasks": f"SELECT kind, count(*) AS n, count(DISTINCT url) AS urls FROM {TASK_KINDS} GROUP BY kind",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",

@@ -603,7 +603,8 @@ def result_batches(spark, d):
     results = table(spark, d, "pages").select(
         U.host_of(F.col("url")).alias("task"), "url", F.col("html").alias("page_text")
     )
-    return routing.result_batches(results).select("task", F.size("results").cast("bigint").alias("n"))
+    batches = routing.result_batches(results).select("task", F.explode("results").alias("url", "page_text"))
+    return batches.select("task", "url", F.md5("page_text").alias("body_md5"))
 
 
 # --- streams ---------------------------------------------------------------------------

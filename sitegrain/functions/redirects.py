@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.constants import BODY_SCRIPT_MAX_CHARS, HEAD_SCRIPT_MAX_CHARS
 from sitegrain.functions.text import strip
-from sitegrain.functions.urls import blank_to_null, join_url, let, split_url
+from sitegrain.functions.urls import blank_to_null, join_url, let, or_else, split_url
 
 # The redirect patterns. Each captures the quoted target, so that an
 # empty target differs from no match.
@@ -67,7 +67,7 @@ def redirect_candidates(html_column: str, url_column: str) -> Column:
             ("script", _quoted(_block(html, SCRIPT, "<script>", "</script>", HEAD_SCRIPT_MAX_CHARS), LOCATION)),
         ]
         return F.array(
-            *[F.struct(F.lit(k).alias("kind"), blank_to_null(strip(t)).alias("trail")) for k, t in tried]
+            *[F.struct(F.lit(k).alias("kind"), or_else(strip(t), F.lit(None)).alias("trail")) for k, t in tried]
         )
 
     found = let(F.regexp_extract(html, HEAD, 1), trails)

@@ -24,9 +24,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
+    """For short expressions: Spark writes the argument out twice."""
     return F.nullif(c, F.lit(""))
 
 
+def or_else(c: Column, fallback: Column) -> Column:
+    """``c`` unless it is blank; for long expressions, which are evaluated once."""
+    return let(c, lambda v: F.when(v != "", v).otherwise(fallback))
+
+
 # --- parts, key, host, site domain ------------------------------------------------
 
 
@@ -194,10 +200,9 @@ def _merge_path(base_path: Column, path: Column) -> Column:
             .when(seg == ".", acc)
             .otherwise(F.concat(acc, F.array(seg))),
         )
-        closed = F.when(
-            F.element_at(segs, -1).isin(".", ".."), F.concat(resolved, F.array(F.lit("")))
-        ).otherwise(resolved)
-        return F.coalesce(blank_to_null(F.array_join(closed, "/")), F.lit("/"))
+        ends_open = F.element_at(segs, -1).isin(".", "..")
+        closed = F.concat(resolved, F.when(ends_open, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+        return or_else(F.array_join(closed, "/"), F.lit("/"))
 
     return let(segments, fold)
 
@@ -295,7 +300,7 @@ def complete_link(page: Column, link: Column, strict_resolve: bool = False) -> C
         )
         return (
             F.when(simple, F.concat(page["root"], c["link"]))
-            .when(c["joins"], F.coalesce(blank_to_null(joined), c["link"]))
+            .when(c["joins"], or_else(joined, c["link"]))
             .otherwise(c["link"])
         )
 

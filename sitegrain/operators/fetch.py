@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions import urls as U
@@ -25,14 +25,19 @@ def fetch(frontier: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
     """Frontier rows with ``page_url`` and ``outcome``: ``success`` where the snapshot
     has the key, else ``failed``; ``invalid`` for URLs that have no key."""
     keyed = frontier.withColumn("url_key", U.url_key(F.col(url)))
-    # Rows without a key skip the join: they would all land in one partition.
-    valid = keyed.filter(F.col("url_key").isNotNull()).join(page_index(pages), "url_key", "left")
-    invalid = keyed.filter(F.col("url_key").isNull()).withColumn("page_url", F.lit(None).cast("string"))
-    return valid.unionByName(invalid).withColumn(
-        "outcome",
-        F.when(F.col("url_key").isNull(), "invalid")
-        .when(F.col("page_url").isNull(), "failed")
-        .otherwise("success"),
+    # Rows without a key join under their own text, which matches nothing: as nulls they
+    # would all land in one partition.
+    sought = F.coalesce("url_key", F.concat(F.lit("invalid:"), F.col(url)))
+    index = page_index(pages).withColumnRenamed("url_key", "_key")
+    return (
+        keyed.join(index, sought == F.col("_key"), "left")
+        .drop("_key")
+        .withColumn(
+            "outcome",
+            F.when(F.col("url_key").isNull(), "invalid")
+            .when(F.col("page_url").isNull(), "failed")
+            .otherwise("success"),
+        )
     )
 
 
@@ -52,12 +57,6 @@ def frontier_new(frontier: DataFrame, visited: DataFrame) -> DataFrame:
     return unvisited(first_per_key(frontier), visited)
 
 
-def rank_arrivals(frontier: DataFrame) -> DataFrame:
-    """Adds ``arrival``: 1 for the URL that stands for its key, more for duplicates."""
-    w = Window.partitionBy("task", "url_key").orderBy("url")
-    return frontier.withColumn("arrival", F.row_number().over(w))
-
-
 def drop_denied(
     df: DataFrame,
     domains: DataFrame | Sequence[str] = (),

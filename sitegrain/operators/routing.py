@@ -60,13 +60,9 @@ def unknown_tasks(tasks: DataFrame, registry: DataFrame, spider: str = "spider")
 
 
 def result_batches(results: DataFrame) -> DataFrame:
-    """Results nested as ``task, results map<url, page_text>``.
-
-    For small batches only: all pages of a task end up in one row.
-    """
-    return results.groupBy("task").agg(
-        F.map_from_entries(F.collect_list(F.struct("url", "page_text"))).alias("results")
-    )
+    """Results nested as ``task, results map<url, page_text>``, one page per batch, the
+    way pages are handed on during a crawl."""
+    return results.select("task", F.create_map("url", "page_text").alias("results"))
 
 
 def run_sinks(batch: DataFrame, sinks: Mapping[str, Sink] | Iterable[tuple[str, Sink]]) -> None:

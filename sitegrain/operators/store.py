@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from sitegrain.constants import LOG_RETENTION_DAYS
 from sitegrain.errors import MissingRowsError
 from sitegrain.operators.search import Filter, find_results, matches
+from sitegrain.plans.staging import Staging
 
 RESULTS = (
     T.StructType()
@@ -75,45 +76,63 @@ def put_contents(
     )
 
 
+def _content_ids(batch: DataFrame) -> DataFrame:
+    """Adds an id derived from the whole row, so that a replayed row keeps its id."""
+    time = F.unix_micros(F.col("update_time").cast("timestamp")).cast("string")
+    return batch.withColumn(
+        "content_id", F.md5(F.concat_ws("\u0000", "task", "url", time, F.md5("page_text")))
+    )
+
+
 def upsert_results(results: DataFrame, contents: DataFrame, batch: DataFrame) -> Stored:
     """Both tables after a batch of ``task, url, page_text, update_time``.
 
-    The newest row per ``task, url`` wins. The merge and the decision which contents
-    go and which come use narrow id columns; page bodies only pass two joins on the
-    content id. Ids are derived from the row, so a replayed batch changes nothing.
+    The newest row per ``task, url`` wins. What wins, what goes and what is superseded
+    within the batch is decided on narrow rows, which are staged. Page bodies then only
+    meet lists of ids whose size is known, so that a short list is broadcast and the
+    bodies stay where they are. A replayed batch changes nothing.
     """
-    arrived = batch.withColumn(
-        "content_id",
-        F.md5(
-            F.concat_ws(
-                "\u0000",
-                "task",
-                "url",
-                F.unix_micros(F.col("update_time").cast("timestamp")).cast("string"),
-                F.md5("page_text"),
-            )
-        ),
+    staging = Staging(batch.sparkSession, "upsert")
+    arrived = staging.write(
+        _content_ids(batch).select("task", "url", F.col("content_id").alias("ref_content_id"), "update_time"),
+        "arrived",
     )
     known = results.select("task", "url", "ref_content_id", "update_time")
-    merged = (
-        known.unionByName(
-            arrived.select("task", "url", F.col("content_id").alias("ref_content_id"), "update_time")
-        )
+    merged = staging.write(
+        known.unionByName(arrived)
         .groupBy("task", "url")
         .agg(F.max(F.struct("update_time", "ref_content_id")).alias("r"))
-        .select("task", "url", "r.ref_content_id", "r.update_time")
+        .select("task", "url", "r.ref_content_id", "r.update_time"),
+        "results",
     )
-    live = merged.select(F.col("ref_content_id").alias("content_id"))
-    replaced = known.select(F.col("ref_content_id").alias("content_id")).join(live, "content_id", "left_anti")
+    live = merged.select("ref_content_id")
+    counted = arrived.groupBy("ref_content_id").agg(F.count("*").alias("n"))
+    # Old contents that were replaced, and ids the batch stores anew.
+    leaving = staging.write(
+        known.select("ref_content_id")
+        .join(live, "ref_content_id", "left_anti")
+        .unionByName(arrived.select("ref_content_id").join(live, "ref_content_id", "left_semi"))
+        .select(F.col("ref_content_id").alias("content_id"))
+        .distinct(),
+        "leaving",
+    )
+    superseded = counted.join(live, "ref_content_id", "left_anti").withColumn("live", F.lit(False))
+    repeated = counted.filter("n > 1").join(live, "ref_content_id", "left_semi").withColumn("live", F.lit(True))
+    special = staging.write(
+        superseded.unionByName(repeated).select(F.col("ref_content_id").alias("content_id"), "live"), "special"
+    )
+
+    bodies = _content_ids(batch)
+    single = bodies.join(special, "content_id", "left_anti")
+    once = bodies.join(special.filter("live"), "content_id", "left_semi").dropDuplicates(["content_id"])
     fresh = put_contents(
-        arrived.join(live, "content_id", "left_semi").withColumn("_name", F.md5("url")),
+        single.unionByName(once).withColumn("_name", F.md5("url")),
         "_name",
         "page_text",
         content_id=F.col("content_id"),
         upload_date=F.col("update_time"),
     )
-    stored = drop_replaced(contents, replaced).join(fresh.select("content_id"), "content_id", "left_anti")
-    return Stored(merged, stored.unionByName(fresh.dropDuplicates(["content_id"])))
+    return Stored(merged, drop_replaced(contents, leaving).unionByName(fresh))
 
 
 def drop_replaced(contents: DataFrame, replaced: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sitegrain.constants import TASK_DEFAULTS, USELESS_MAX_CHARS, USELESS_PHRASES
 from sitegrain.functions import urls as U
-from sitegrain.operators.fetch import drop_denied, page_index, rank_arrivals
+from sitegrain.operators.fetch import drop_denied, first_per_key, page_index
 from sitegrain.operators.links import LEVELS, check_level, page_links
 from sitegrain.operators.quality import apply_hook, is_blank, is_useless
 from sitegrain.operators.redirects import follow_redirects
@@ -129,7 +129,7 @@ def crawl(
     the snapshot that stands for the network.
 
     Links are extracted once into a staged graph. A round then moves narrow rows:
-    it ranks the arrivals per ``task, url_key``, leaves out keys of earlier rounds,
+    it takes the first URL per ``task, url_key``, leaves out keys of earlier rounds,
     looks the rest up in the page index, and expands the kept pages through the graph.
     Each round is staged, so a lost executor costs one round at most, and its size is
     known to the planner. Joins on ``url_key`` are left to adaptive execution, which
@@ -153,8 +153,9 @@ def crawl(
             if rounds[-1].isEmpty():
                 break
             frontier = _expand(rounds[-1], graph, depth)
-        done = _visit(drop_denied(frontier, **denied), rounds, index, depth)
-        rounds.append(staging.write(done, f"round-{depth}"))
+        # Staged, because a round reads it twice and the expansion is the dear part.
+        frontier = staging.write(drop_denied(frontier, **denied), f"frontier-{depth}")
+        rounds.append(staging.write(_visit(frontier, rounds, index, depth), f"round-{depth}"))
 
     columns = VISITS.fieldNames()
     empty = seeds.sparkSession.createDataFrame([], VISITS)
@@ -165,40 +166,43 @@ def crawl(
 def _visit(frontier: DataFrame, rounds: list[DataFrame], index: DataFrame, depth: int) -> DataFrame:
     """Outcome of every frontier URL of a round.
 
-    A URL without a key takes part under a name of its own that matches nothing: as
-    nulls such rows would all meet in one partition.
+    The smallest URL of each ``task, url_key`` stands for the key. It is found by an
+    aggregate and joined back, so no task has to hold all spellings of a key. A URL
+    without a key takes part under a name of its own that matches nothing: as nulls
+    such rows would all meet in one partition.
     """
-    arrived = rank_arrivals(
-        frontier.withColumnRenamed("url_key", "valid_key").withColumn(
-            "url_key", F.coalesce("valid_key", F.concat(F.lit("invalid:"), "url"))
-        )
+    keyed = frontier.withColumnRenamed("url_key", "valid_key").withColumn(
+        "url_key", F.coalesce("valid_key", F.concat(F.lit("invalid:"), "url"))
     )
+    heads = first_per_key(keyed).withColumnRenamed("url", "first_url")
     if rounds:
         seen = reduce(
             DataFrame.unionByName,
             [r.filter(F.col("outcome").isin("success", "failed")).select("task", "url_key") for r in rounds],
-        ).withColumn("seen", F.lit(True))
-        arrived = arrived.join(seen, ["task", "url_key"], "left")
-    else:
-        arrived = arrived.withColumn("seen", F.lit(None).cast("boolean"))
+        )
+        heads = heads.join(seen, ["task", "url_key"], "left_anti")
+    heads = heads.join(index, "url_key", "left")
     outcome = (
         F.when(F.col("valid_key").isNull(), "invalid")
-        .when((F.col("arrival") > 1) | F.col("seen").isNotNull(), "duplicate")
+        .when(F.col("first_url").isNull() | (F.col("first_url") != F.col("url")), "duplicate")
         .when(F.col("page_url").isNull(), "failed")
         .otherwise("success")
     )
-    fetched = arrived.join(index, "url_key", "left").withColumn("outcome", outcome)
     success = F.col("outcome") == "success"
-    return fetched.select(
-        "task",
-        "url",
-        F.col("valid_key").alias("url_key"),
-        F.lit(depth).alias("depth"),
-        "outcome",
-        F.when(success, F.col("page_state")).alias("page_state"),
-        F.when(success, F.col("page_url")).alias("page_url"),
-        "level",
-        "max_depth",
+    return (
+        keyed.join(heads, ["task", "url_key"], "left")
+        .withColumn("outcome", outcome)
+        .select(
+            "task",
+            "url",
+            F.col("valid_key").alias("url_key"),
+            F.lit(depth).alias("depth"),
+            "outcome",
+            F.when(success, F.col("page_state")).alias("page_state"),
+            F.when(success, F.col("page_url")).alias("page_url"),
+            "level",
+            "max_depth",
+        )
     )
 
 

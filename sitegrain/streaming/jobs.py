@@ -7,9 +7,10 @@ job picks up what is new.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,13 +49,28 @@ def _event_time(stream: DataFrame, time: str, seconds: int) -> DataFrame:
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, f"{seconds} seconds")
 
 
+def _combine(stream: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """Repeats inside an Arrow batch reduced to their newest row.
+
+    Stateful operators have no map-side combine. Without this step every message of a
+    key that dominates the stream would reach one task.
+    """
+    keys = list(keys)
+
+    def newest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.sort_values(time, kind="stable").drop_duplicates(keys, keep="last")
+
+    return stream.mapInPandas(newest, stream.schema)
+
+
 def dedup_tasks(
     stream: DataFrame, keys: Sequence[str], time: str, max_age_seconds: int = TASK_MAX_AGE_SECONDS
 ) -> DataFrame:
     """Tasks without repeats inside the watermark. Messages older than ``max_age_seconds``
     behind the newest are dropped as expired. Repeats are removed at least over that
     age; within one micro-batch, over the whole batch."""
-    return _event_time(stream, time, max_age_seconds).dropDuplicatesWithinWatermark(list(keys))
+    return _event_time(_combine(stream, keys, time), time, max_age_seconds).dropDuplicatesWithinWatermark(list(keys))
 
 
 def dedup_tasks_per_window(
@@ -62,13 +78,10 @@ def dedup_tasks_per_window(
 ) -> DataFrame:
     """One row per key and window of ``max_age_seconds``: ``keys, window_start``. The
     result does not depend on how the stream is cut into micro-batches."""
-    window = F.window(F.col(time), f"{max_age_seconds} seconds").alias("window")
-    return (
-        _event_time(stream, time, max_age_seconds)
-        .select(*keys, window)
-        .dropDuplicates([*keys, "window"])
-        .select(*keys, F.col("window.start").alias("window_start"))
-    )
+    start = F.window(F.col(time).cast("timestamp"), f"{max_age_seconds} seconds")["start"]
+    columns = [*keys, "window_start"]
+    windowed = _combine(stream.select(*keys, start.alias("window_start")), columns, "window_start")
+    return _event_time(windowed, "window_start", max_age_seconds).dropDuplicates(columns)
 
 
 def stream_links(
