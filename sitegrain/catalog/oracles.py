@@ -195,6 +195,14 @@ def walk(max_depth: int) -> str:
 """
 
 
+# Kept pages of the walk with the URL each was first reached by.
+KEPT = """FROM v JOIN g ON g.k = v.url_key
+        JOIN (SELECT f.task, f.depth, coalesce(e2.dst, g2.k) AS k, min(f.url) AS url FROM f
+              LEFT JOIN (SELECT DISTINCT url, dst FROM e) e2 ON e2.url = f.url
+              LEFT JOIN g g2 ON g2.url = f.url GROUP BY ALL) first_url
+          ON first_url.task = v.task AND first_url.k = v.url_key AND first_url.depth = v.depth
+        WHERE v.outcome = 'success' AND v.state = 'kept'"""
+
 STATS = """count(*) FILTER (outcome IN ('success', 'failed')) AS downloads,
     count(*) FILTER (outcome = 'success') AS success,
     count(*) FILTER (coalesce(state <> 'kept', false)) AS useless,
@@ -298,12 +306,10 @@ ORACLES: dict[str, str] = {
     "crawl_outcomes": walk(2) + """SELECT depth, outcome, count(*) AS n FROM v GROUP BY ALL
         UNION ALL SELECT depth, 'duplicate', cast(sum(dup) AS BIGINT) FROM a GROUP BY depth HAVING sum(dup) > 0""",
     "crawl_results": walk(1) + """SELECT v.task, first_url.url, md5('<html><body>' || g.anchors || '</body></html>') AS body_md5
-        FROM v JOIN g ON g.k = v.url_key
-        JOIN (SELECT f.task, f.depth, coalesce(e2.dst, g2.k) AS k, min(f.url) AS url FROM f
-              LEFT JOIN (SELECT DISTINCT url, dst FROM e) e2 ON e2.url = f.url
-              LEFT JOIN g g2 ON g2.url = f.url GROUP BY ALL) first_url
-          ON first_url.task = v.task AND first_url.k = v.url_key AND first_url.depth = v.depth
-        WHERE v.outcome = 'success' AND v.state = 'kept'""",
+        """ + KEPT,
+    "crawl_tasks": walk(1) + """SELECT s.store, url, CASE s.store WHEN 'urls' THEN 0 ELSE length(anchors) + s.extra END AS chars
+        FROM (SELECT seed.i % 3 AS turn, first_url.url, g.anchors """ + KEPT.replace("JOIN (", "JOIN g seed ON seed.url = v.task JOIN (", 1) + """) k
+        JOIN (VALUES ('saved', 0, 26), ('news', 1, 20), ('urls', 1, 0)) s(store, turn, extra) ON s.turn = k.turn""",
     "crawl_stats": walk(2) + f"""SELECT v.task, {STATS.replace('state', 'v.state')} + any_value(d.dup) AS useless_with_duplicates
         FROM v JOIN (SELECT task, cast(sum(dup) AS BIGINT) AS dup FROM a GROUP BY 1) d ON d.task = v.task GROUP BY v.task""",
     "crawl_stats_total": walk(2) + f"""SELECT {STATS} + (SELECT cast(sum(dup) AS BIGINT) FROM a) AS useless_with_duplicates,

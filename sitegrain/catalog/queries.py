@@ -24,6 +24,7 @@ from sitegrain.operators import (
     urls,
 )
 from sitegrain.plans.crawl import crawl, crawl_stats, fetch_log_lines
+from sitegrain.plans.dispatch import crawl_tasks as run_crawl_tasks
 from sitegrain.plans.staging import Staging
 from sitegrain.sources import seeds, tasks
 from sitegrain.streaming import jobs
@@ -348,6 +349,42 @@ def crawl_pages(spark, d):
     return visits.groupBy("task", "depth", "outcome").agg(F.count("*").alias("n"))
 
 
+@query
+def crawl_tasks(spark, d):
+    """Tasks for three handlers, one of them unknown; two sinks and the default store."""
+    folder = Staging(spark, "crawl-tasks").path
+    site = I.site(spark, d)
+    table_of_tasks = site.select(
+        "url",
+        F.lit(0).alias("level"),
+        F.lit(1).alias("max_depth"),
+        I.by_turn("page_id", "", "news", "gone").alias("spider"),
+    )
+    registry = routing.Registry()
+    registry.register("spider")
+    registry.register(
+        "news",
+        hook=lambda t: F.replace(t, F.lit("<html>"), F.lit("")),
+        sinks={
+            "bodies": lambda b: b.write.parquet(f"{folder}/bodies"),
+            "urls": lambda b: b.select("task", "url").write.parquet(f"{folder}/urls"),
+        },
+    )
+    run_crawl_tasks(table_of_tasks, site.select("url", "html"), registry, f"{folder}/saved")
+    bodies, saved = spark.read.parquet(f"{folder}/bodies"), spark.read.parquet(f"{folder}/saved")
+    return (
+        bodies.select(F.lit("news").alias("store"), "url", F.length("page_text").cast("bigint").alias("chars"))
+        .unionByName(
+            spark.read.parquet(f"{folder}/urls").select(
+                F.lit("urls").alias("store"), "url", F.lit(0).cast("bigint").alias("chars")
+            )
+        )
+        .unionByName(
+            saved.select(F.lit("saved").alias("store"), "url", F.length("page_text").cast("bigint").alias("chars"))
+        )
+    )
+
+
 @query
 def crawl_stats_by_task(spark, d):
     return crawl_stats(_walk(spark, d, 2).visits)

@@ -36,8 +36,11 @@ class Registry:
     def __getitem__(self, name: str) -> Handler:
         return self._handlers[name]
 
+    def names(self) -> list[str]:
+        return sorted(self._handlers)
+
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(n,) for n in sorted(self._handlers)], "name string")
+        return spark.createDataFrame([(n,) for n in self.names()], "name string")
 
 
 def route_tasks(tasks: DataFrame, registry: DataFrame, spider: str = "spider") -> DataFrame:

@@ -31,12 +31,26 @@ def staging_root(spark: SparkSession) -> str:
     return _local_root
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{staging_root(spark)}/sitegrain/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every staged table of this application."""
+    _delete(spark, _application_folder(spark))
+
+
 class Staging:
     """A private folder for the staged tables of one job."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.path = f"{staging_root(spark)}/sitegrain/{label}-{uuid.uuid4().hex}"
+        self.path = f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         """Write ``df`` once and return the written table."""
@@ -49,5 +63,4 @@ class Staging:
 
     def release(self) -> None:
         """Delete the folder; tables read from it are gone afterwards."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path)
