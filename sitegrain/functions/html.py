@@ -28,10 +28,11 @@ def _up_to(name: str) -> str:
     return rf"(?:[\s/]++|=|(?!{here}){_ATTR})*+(?={here})"
 
 
+# The first letter is tested before the alternatives: most tags are none of these.
 LINK_ATTRIBUTES = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<(?:script|style)(?=[\s/>]).*?(?:</(?:script|style)|\z)"
-    rf"|<(?:a(?=[\s/]){_up_to('href')}|i?frame(?=[\s/]){_up_to('src')})({_ATTR})"
+    r"(?s)<(?=[!aAfFiIsS])(?i:!--.*?(?:-->|\z)"
+    r"|(?:script|style)(?=[\s/>]).*?(?:</(?:script|style)|\z)"
+    rf"|(?:a(?=[\s/]){_up_to('href')}|i?frame(?=[\s/]){_up_to('src')})({_ATTR}))"
 )
 
 # Fixed value: the address pattern. It starts at the beginning of a word, so that a long
@@ -41,7 +42,7 @@ LINK_ATTRIBUTES = (
 _WORD = r"[\p{L}\p{N}_\-]"
 _SCHEME = r"(?:ht|f)tps?"
 _TAIL = r"(?:[\p{L}\p{N}_\-.,@?^=%&:/~+#]*[\p{L}\p{N}_\-@?^=%&/~+#])?"
-ADDRESS = rf"(?<!{_WORD}){_WORD}++(?:(?<={_SCHEME})://{_WORD}++)?\.{_WORD}+{_TAIL}"
+ADDRESS = rf"(?<!{_WORD}){_WORD}++(?=[.:])(?:(?=:)(?<={_SCHEME})://{_WORD}++)?\.{_WORD}+{_TAIL}"
 _GLUED = rf"^{_WORD}+?(?={_SCHEME}://{_WORD})"
 
 

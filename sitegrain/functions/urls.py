@@ -262,6 +262,7 @@ def page_base(u: Column, keep_port: bool = False) -> Column:
             p["host"].alias("host"),
             site_domain(p["host"]).alias("domain"),
             p["root"].alias("root"),
+            F.concat(p["scheme"], F.lit("://"), p["host"], F.lit("/")).alias("home"),
             (p["scheme"].isin(uses_relative) & p["host"].rlike(r"^[^/?#;\[\]\s:]+\z")).alias("plain"),
             split_url(p["root"], F.lit("")).alias("root_parts"),
             split_url(p["url"], F.lit("")).alias("url_parts"),
@@ -308,15 +309,20 @@ def complete_link(page: Column, link: Column, strict_resolve: bool = False) -> C
         F.struct(
             rooted.alias("rooted"),
             (rooted | to_page).alias("joins"),
-            F.when(rooted, F.regexp_replace(link, r"\.+\z", "")).otherwise(link).alias("link"),
+            F.when(rooted & link.endswith("."), F.regexp_replace(link, r"\.+\z", "")).otherwise(link).alias("link"),
         ),
         complete,
     )
 
 
 def link_scope(page: Column, link: Column) -> Column:
-    """Narrowest crawl level a completed link belongs to: 0 host, 1 domain, 2 any."""
-    return let(
-        host_of(link),
-        lambda h: F.when(h == page["host"], 0).when(site_domain(h) == page["domain"], 1).otherwise(2),
+    """Narrowest crawl level a completed link belongs to: 0 host, 1 domain, 2 any.
+
+    Most links start with the page's own root, which settles them without a parse.
+    """
+    return F.when(page["plain"] & link.startswith(page["home"]), 0).otherwise(
+        let(
+            host_of(link),
+            lambda h: F.when(h == page["host"], 0).when(site_domain(h) == page["domain"], 1).otherwise(2),
+        )
     )
