@@ -78,6 +78,7 @@ def value(mention: Column) -> Column:
         .when(k == "secret", F.regexp_extract(mention, _SECRET_LABEL, 2))
         .when(k == "name", F.concat(gender(mention), F.lit(" "), F.regexp_extract(mention, _NAME_PARTS, 2)))
         .when(k == "ip", mention)
+        .when(k == "phone", F.substring(F.regexp_replace(mention, "[^0-9]", ""), -10, 10))
         .otherwise(F.regexp_replace(mention, "[^0-9]", ""))
     )
 
@@ -142,13 +143,21 @@ def surrogate_value(k: Column, val: Column, attempt: Column, key: str) -> Column
     digest = F.sha2(F.concat_ws("\x01", F.lit(key), k, val, attempt.cast("string")), 256)
     part = lambda s, i, n: F.conv(F.substring(s, i, 6), 16, 10).cast("long") % n
 
+    def phone(seed: Column) -> Column:
+        # Area and exchange begin with 2 to 9.
+        digit = lambda i: _at(_digits(seed), i)
+        first = lambda i: F.translate(digit(i), "01", "67")
+        return F.concat(*[first(i) if i in (0, 3) else digit(i) for i in range(10)])
+
     def of(seed: Column) -> Column:
         return (
             F.when(k == "email", F.concat(_like(F.substring_index(val, "@", 1), seed), F.lit("@"), F.translate(F.substring(seed, 33, 10), _HEX, "abcdefghijkmnprs"), F.lit(".example")))
+            .when((k == "secret") & val.rlike("^[0-9a-f]+$"), F.array_join(F.transform(F.split(val, ""), lambda c, i: _at(seed, i)), ""))
             .when(k == "secret", _like(val, seed))
             .when(k == "ip", F.concat_ws(".", (part(seed, 1, 223) + 1).cast("string"), part(seed, 7, 256).cast("string"), part(seed, 13, 256).cast("string"), (part(seed, 19, 254) + 1).cast("string")))
             .when(k == "card", _luhn(F.concat(F.substring(val, 1, 1), F.substring(_digits(seed), 2, 14))))
             .when(k == "name", _name(val, seed))
+            .when(k == "phone", phone(seed))
             .otherwise(_like(val, seed))
         )
 
@@ -156,11 +165,12 @@ def surrogate_value(k: Column, val: Column, attempt: Column, key: str) -> Column
 
 
 def render(mention: Column, k: Column, val: Column) -> Column:
-    """``val`` written as ``mention`` is."""
+    """``val`` written as ``mention`` is. Digits before those of the value (a country code) stay."""
+    before = F.length(F.regexp_replace(mention, "[^0-9]", "")) - F.length(val)
     by_digit = F.aggregate(
         F.split(mention, ""),
         F.struct(F.lit("").alias("s"), F.lit(0).alias("n")),
-        lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a["s"], F.substring(val, a["n"] + 1, F.lit(1))).alias("s"), (a["n"] + 1).alias("n"))).otherwise(
+        lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a["s"], F.when(a["n"] < before, c).otherwise(F.substring(val, a["n"] - before + 1, F.lit(1)))).alias("s"), (a["n"] + 1).alias("n"))).otherwise(
             F.struct(F.concat(a["s"], c).alias("s"), a["n"].alias("n"))
         ),
         lambda a: a["s"],
