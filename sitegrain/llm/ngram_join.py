@@ -26,7 +26,11 @@ from sitegrain.plans.staging import Staging
 #: Words of a shingle, and the similarity in hundredths.
 SHINGLE, SIMILAR = 5, 75
 #: Column blocks of the second pass.
-BLOCKS = 4
+BLOCKS = 2
+#: Rounds in which documents meet centres, before all that are still apart meet.
+ROUNDS = 4
+#: Centres drawn per shingle in each round after the first.
+CENTRES = 8
 
 
 def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,21 +113,40 @@ def _column_blocks(k: int, bits: int) -> Callable:
     return run
 
 
-def _count_block(table: pa.Table) -> pa.Table:
-    """Per set of a block: how many of its columns another set has too."""
+def _count_block(bits: int) -> Callable:
+    """How many of its columns in a block each set shares with another one, packed into a row for
+    each part of the sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["sets"]])
+        sizes = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table["sizes"]])
+        columns = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["columns"]])
+        distinct, of = np.unique(sets, return_inverse=True)
+        cell = (columns.astype(np.uint64) << np.uint64(32)) | np.repeat(of, sizes).astype(np.uint64)
+        cell.sort()
+        cell = cell[np.concatenate((np.ones(1, bool), cell[1:] != cell[:-1]))]  # copies of a set in several chunks
+        column = (cell >> np.uint64(32)).astype(np.uint32)
+        new = np.concatenate((np.ones(1, bool), column[1:] != column[:-1], np.ones(1, bool)))
+        shared = ~(new[:-1] & new[1:])
+        n = np.bincount((cell[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(distinct))
+        distinct, n = distinct[n > 0], n[n > 0].astype(np.int32)
+        part = (distinct.view(np.uint64) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange((1 << bits) + 1))
+        parts = [(p, order[edges[p] : edges[p + 1]]) for p in range(1 << bits) if edges[p] < edges[p + 1]]
+        return pa.table(
+            {"part": pa.array([p for p, _ in parts], pa.int32()), "sets": pa.array([distinct[i].tobytes() for _, i in parts], pa.binary()), "shared": pa.array([n[i].tobytes() for _, i in parts], pa.binary())}
+        )
+
+    return run
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    """Counts of a part of the sets, added up over blocks."""
     sets = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["sets"]])
-    sizes = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table["sizes"]])
-    columns = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["columns"]])
-    distinct, of = np.unique(sets, return_inverse=True)
-    cell = (columns.astype(np.uint64) << np.uint64(32)) | np.repeat(of, sizes).astype(np.uint64)
-    cell.sort()
-    cell = cell[np.concatenate((np.ones(1, bool), cell[1:] != cell[:-1]))]  # copies of a set in several chunks
-    column = (cell >> np.uint64(32)).astype(np.uint32)
-    new = np.concatenate((np.ones(1, bool), column[1:] != column[:-1], np.ones(1, bool)))
-    shared = ~(new[:-1] & new[1:])
-    n = np.bincount((cell[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(distinct))
-    has = n > 0
-    return pa.table({"c": distinct[has], "shared": n[has].astype(np.int64)})
+    shared = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table["shared"]])
+    c, of = np.unique(sets, return_inverse=True)
+    return pa.table({"c": c, "shared": np.bincount(of, shared, len(c)).astype(np.int64)})
 
 
 def _rows(k: int) -> Callable:
@@ -179,9 +202,9 @@ def candidates(docs: DataFrame, sets: DataFrame, stage: Staging, k: int, similar
         .where("text IS NOT NULL")
         .mapInArrow(_column_blocks(k, bits), "block int, sets binary, sizes binary, columns binary")
         .groupBy("block")
-        .applyInArrow(_count_block, "c long, shared long")
-        .groupBy("c")
-        .agg(F.sum("shared").alias("shared"))
+        .applyInArrow(_count_block(bits), "part int, sets binary, shared binary")
+        .groupBy("part")
+        .applyInArrow(_add_up, "c long, shared long")
     )
     one = sets.where("n_shingles > 0").groupBy("c").agg(F.min("n_shingles").alias("n"), F.min(F.struct("doc_id", "_k")).alias("doc"))
     left = stage.write(
@@ -223,18 +246,19 @@ def link_components(docs: DataFrame, stage: Staging, k: int = SHINGLE, similar:
     def with_roots():
         return postings.withColumn("root", F.col("c")) if roots is None else postings.join(roots, postings.c == roots.node, "left").select(*postings.columns, F.coalesce("root", "c").alias("root"))
 
-    while True:
-        # Each document meets the centre that it shares most rare shingles with, of those in other components.
+    while r < ROUNDS:
+        # Each document of another component meets centres of its rare shingles: the smallest document of each
+        # shingle at first, then some drawn at random.
         r += 1
         now = with_roots()
-        order = F.xxhash64(F.lit(r), "c") if r > 1 else F.col("n")
-        mark = F.struct(order.alias("h"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b"), F.col("room").alias("room_b"))
-        centres = now.groupBy("token").agg(F.min(mark).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "m.*")
-        fit = _sizes_fit(F.col("n"), F.col("nb"), similar) & (F.least("room", "room_b") >= _pair_overlap(F.col("n"), F.col("nb"), similar))
-        meets = now.join(centres, "token").where((F.col("root") != F.col("root_b")) & fit)
-        shares = meets.groupBy("c", "b").agg(F.count(F.lit(1)).alias("s")).select("c", "s", F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b"))
-        best = shares.join(tried, ["a", "b"], "left_anti").groupBy("c").agg(F.max(F.struct("s", "a", "b")).alias("x"))
-        pairs = stage.write(best.select("x.a", "x.b").distinct(), f"pairs{r}")
+        orders = [F.col("n")] if r == 1 else [F.xxhash64(F.lit(r * CENTRES + i), "c") for i in range(CENTRES)]
+        marks = [F.min(F.struct(o.alias("h"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b"), F.col("room").alias("room_b"))) for o in orders]
+        centres = now.groupBy("token").agg(F.array_distinct(F.transform(F.array(*marks), lambda m: m.dropFields("h"))).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        fit = _sizes_fit(F.col("n"), F.col("m.nb"), similar) & (F.least("room", "m.room_b") >= _pair_overlap(F.col("n"), F.col("m.nb"), similar))
+        meets = now.join(centres, "token").select("c", "n", "root", "room", F.explode("m").alias("m")).where((F.col("root") != F.col("m.root_b")) & fit)
+        shares = meets.groupBy("c", F.col("m.b").alias("b")).agg(F.count(F.lit(1)).alias("s")).select("c", "s", F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b"))
+        best = shares.join(tried, ["a", "b"], "left_anti").groupBy("c").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "a", "b")), asc=False), 1, len(orders)).alias("x"))
+        pairs = stage.write(best.select(F.explode("x").alias("x")).select("x.a", "x.b").distinct(), f"pairs{r}")
         if pairs.isEmpty():
             break
         found = stage.write(verified(pairs, rows, similar), f"found{r}")
