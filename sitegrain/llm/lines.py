@@ -38,13 +38,15 @@ def repeated_lines(docs: DataFrame, stage: Staging, min_chars: int = 10, min_doc
         ).where("_line IS NOT NULL"),
         "lines",
     )
-    repeated = (
+    # Written, so that the join below may deal a very common line out to several tasks.
+    repeated = stage.write(
         lines.select("_line", "_id")
         .distinct()
         .groupBy("_line")
         .agg(F.count(F.lit(1)).alias("_docs"), F.min("_id").alias("_keeper"))
         .where(F.col("_docs") >= min_docs)
-        .drop("_docs")
+        .drop("_docs"),
+        "repeated",
     )
     return (
         lines.join(repeated, "_line")
