@@ -269,13 +269,23 @@ def link_components(docs: DataFrame, stage: Staging, k: int = SHINGLE, similar:
         roots = stage.write(components(links, stage, f"roots{r}"), f"roots{r}")
     # What is left: documents of different components that meet in a rare shingle.
     now = stage.write(with_roots(), "now")
-    heads = now.select("token", "root").distinct()
+    heads = now.groupBy("token", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"))
     split = heads.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     heads = heads.join(split, "token")
-    apart = heads.select("token", F.col("root").alias("ra")).join(heads.select("token", F.col("root").alias("rb")), "token").where("ra < rb")
+    # Two components meet in a shingle only if some of their documents may fit there.
+    names = ("root", "lo", "hi", "room")
+    one, two = (heads.select("token", *[F.col(x).alias(f"{x}_{side}") for x in names]) for side in "ab")
+    may_fit = (
+        (F.col("root_a") < F.col("root_b"))
+        & (F.col("hi_a") * 100 >= F.col("lo_b") * similar)
+        & (F.col("hi_b") * 100 >= F.col("lo_a") * similar)
+        & (F.least("room_a", "room_b") >= _pair_overlap(F.col("lo_a"), F.col("lo_b"), similar))
+    )
+    apart = one.join(two, "token").where(may_fit).select("token", F.col("root_a").alias("ra"), F.col("root_b").alias("rb"))
     a = now.select("token", F.col("root").alias("ra"), F.col("c").alias("a"), F.col("n").alias("na"), F.col("room").alias("xa"))
     b = now.select("token", F.col("root").alias("rb"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("room").alias("xb"))
     fit = _sizes_fit(F.col("na"), F.col("nb"), similar) & (F.least("xa", "xb") >= _pair_overlap(F.col("na"), F.col("nb"), similar))
+    apart = stage.write(apart, "apart")
     rest = apart.join(a, ["token", "ra"]).join(b, ["token", "rb"]).where(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = stage.write(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     found = stage.write(verified(rest, rows, similar), "found-rest")
@@ -302,7 +312,7 @@ def component_report(docs: DataFrame, stage: Staging, k: int = SHINGLE, similar:
     """
     sets, roots = link_components(docs, stage, k, similar)
     rows = stage.write(_with_class(sets, roots), "classes")
-    least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = stage.write(rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
