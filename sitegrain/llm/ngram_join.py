@@ -27,10 +27,8 @@ from sitegrain.plans.staging import Staging
 SHINGLE, SIMILAR = 5, 75
 #: Column blocks of the second pass.
 BLOCKS = 2
-#: Rounds in which documents meet centres, before all that are still apart meet.
-ROUNDS = 4
-#: Centres drawn per shingle in each round after the first.
-CENTRES = 8
+#: Centres per shingle in each round, before all documents that are still apart meet.
+CENTRES = (1, 8, 32)
 
 
 def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,12 +244,12 @@ def link_components(docs: DataFrame, stage: Staging, k: int = SHINGLE, similar:
     def with_roots():
         return postings.withColumn("root", F.col("c")) if roots is None else postings.join(roots, postings.c == roots.node, "left").select(*postings.columns, F.coalesce("root", "c").alias("root"))
 
-    while r < ROUNDS:
+    while r < len(CENTRES):
         # Each document of another component meets centres of its rare shingles: the smallest document of each
         # shingle at first, then some drawn at random.
         r += 1
         now = with_roots()
-        orders = [F.col("n")] if r == 1 else [F.xxhash64(F.lit(r * CENTRES + i), "c") for i in range(CENTRES)]
+        orders = [F.col("n")] if r == 1 else [F.xxhash64(F.lit(100 * r + i), "c") for i in range(CENTRES[r - 1])]
         marks = [F.min(F.struct(o.alias("h"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b"), F.col("room").alias("room_b"))) for o in orders]
         centres = now.groupBy("token").agg(F.array_distinct(F.transform(F.array(*marks), lambda m: m.dropFields("h"))).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
         fit = _sizes_fit(F.col("n"), F.col("m.nb"), similar) & (F.least("room", "m.room_b") >= _pair_overlap(F.col("n"), F.col("m.nb"), similar))
