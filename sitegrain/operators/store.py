@@ -148,7 +148,10 @@ def content_by_name(contents: DataFrame, names: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("upload_date", "content_id")).alias("c"))
         .select("filename", "c.content_id", "c.upload_date")
     )
-    return contents.join(newest, ["filename", "content_id", "upload_date"], "left_semi")
+    # An upload date may be null; the newest of a name then is null only if all are.
+    same = [F.col(f"c.{x}").eqNullSafe(F.col(f"n.{x}")) for x in ("content_id", "upload_date")]
+    on = (F.col("c.filename") == F.col("n.filename")) & same[0] & same[1]
+    return contents.alias("c").join(newest.alias("n"), on, "left_semi")
 
 
 # --- updating -------------------------------------------------------------------
@@ -278,7 +281,9 @@ def update_by_partition(
         if ignore_missing:
             return
         raise MissingRowsError("no row was updated")
-    touched = table.join(changed, partition_col, "left_semi").select(*table.columns)
+    # The null partition is a partition like any other.
+    same = F.col(f"t.`{partition_col}`").eqNullSafe(F.col(f"x.`{partition_col}`"))
+    touched = table.alias("t").join(changed.alias("x"), same, "left_semi")
     (
         _updated(touched, hit, assignments)
         .write.mode("overwrite")
@@ -291,9 +296,9 @@ def update_by_partition(
 # --- deleting -------------------------------------------------------------------
 
 
-def delete_rows(df: DataFrame, condition: Filter, ignore_missing: bool = True) -> DataFrame:
-    """Rows that do not match. With ``ignore_missing=False`` a delete that finds
-    nothing raises ``MissingRowsError``."""
+def delete_rows(df: DataFrame, condition: Filter, ignore_missing: bool = False) -> DataFrame:
+    """Rows that do not match. A delete that finds nothing raises ``MissingRowsError``
+    unless ``ignore_missing``."""
     hit = F.coalesce(matches(condition), F.lit(False))
     if not ignore_missing and df.filter(hit).isEmpty():
         raise MissingRowsError("no row was deleted")
@@ -319,15 +324,15 @@ def delete_contents(
 def purge_overdue(
     results: DataFrame, older_than: str, now: Column | None = None, time: str = "update_time"
 ) -> DataFrame:
-    """Rows not older than an interval such as ``'30 days'``."""
+    """Rows not older than an interval such as ``'30 days'``. Rows without a time stay."""
     now = F.current_timestamp() if now is None else now
-    return results.filter(F.col(time) >= now - F.expr(f"interval {older_than}"))
+    return results.filter(F.coalesce(F.col(time) >= now - F.expr(f"interval {older_than}"), F.lit(True)))
 
 
 def purge_by_whole_days(
     df: DataFrame, time: str, days: int = LOG_RETENTION_DAYS, now: Column | None = None
 ) -> DataFrame:
-    """Rows whose age in whole 24-hour days is at most ``days``."""
+    """Rows whose age in whole 24-hour days is at most ``days``. Rows without a time stay."""
     now = F.current_timestamp() if now is None else now
     seconds = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col(time).cast("timestamp"))
-    return df.filter(F.floor(seconds / 86400) <= days)
+    return df.filter(F.coalesce(F.floor(seconds / 86400) <= days, F.lit(True)))

@@ -171,3 +171,20 @@ def test_small_searches(spark):
         search.find_one(df)
     page, total = search.aggregate_paged(df, lambda d: d.groupBy("k").count(), [F.desc("count")], 1, 1)
     assert (total, page.first().k) == (2, "b")
+
+
+def test_null_times_names_and_partitions(spark, tmp_path):
+    """Nulls are neither purged nor lost, and the null partition is updated too."""
+    times = spark.sql("SELECT * FROM VALUES (1, timestamp'2020-01-01'), (2, null), (3, timestamp'2030-01-01') AS t(id, update_time)")
+    now = F.lit("2030-01-02").cast("timestamp")
+    assert sorted(r.id for r in store.purge_overdue(times, "30 days", now).collect()) == [2, 3]
+    assert sorted(r.id for r in store.purge_by_whole_days(times, "update_time", 30, now).collect()) == [2, 3]
+    contents = spark.sql("SELECT 'c1' content_id, 'f' filename, cast(null AS timestamp) upload_date")
+    names = spark.sql("SELECT 'f' filename")
+    assert [r.content_id for r in store.content_by_name(contents, names).collect()] == ["c1"]
+    path = str(tmp_path / "t")
+    spark.sql("SELECT * FROM VALUES (1, 'x', 'p'), (2, 'x', null), (3, 'y', null) AS t(id, v, part)").write.partitionBy("part").parquet(path)
+    store.update_by_partition(spark, path, {"v": "x"}, {"v": "z"}, "part")
+    assert {r.id: r.v for r in spark.read.parquet(path).collect()} == {1: "z", 2: "z", 3: "y"}
+    with pytest.raises(MissingRowsError):
+        store.delete_rows(times, F.col("id") == 9)
