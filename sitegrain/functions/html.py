@@ -31,7 +31,7 @@ def _up_to(name: str) -> str:
 # The first letter is tested before the alternatives: most tags are none of these.
 LINK_ATTRIBUTES = (
     r"(?s)<(?=[!aAfFiIsS])(?i:!--.*?(?:-->|\z)"
-    r"|(?:script|style)(?=[\s/>]).*?(?:</(?:script|style)|\z)"
+    r"|script(?=[\s/>]).*?(?:</script|\z)|style(?=[\s/>]).*?(?:</style|\z)"
     rf"|(?:a(?=[\s/]){_up_to('href')}|i?frame(?=[\s/]){_up_to('src')})({_ATTR}))"
 )
 

@@ -109,3 +109,9 @@ def test_links_of_a_page_are_distinct_after_completion(spark):
     assert at(0) == ["h.com", "http://h.com/a"]
     assert at(1) == ["h.com", "http://h.com/a", "x.h.com"]
     assert at(2) == ["h.com", "http://h.com/a", "http://o.com/", "x.h.com"]
+
+
+def test_script_and_style_end_at_their_own_tag(spark):
+    page = """<script>var a="</style><a href='/bad'>"</script><a href='/good'><STYLE>a{}</script><a href='/no'></STYLE ><a href='/two'>"""
+    df = spark.createDataFrame([(1, page)], "page_id int, html string")
+    assert [r.link for r in links.anchor_links(df).collect()] == ["/good", "/two"]
