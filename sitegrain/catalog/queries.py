@@ -387,7 +387,7 @@ def crawl_tasks(spark, d):
 
 @query
 def crawl_stats_by_task(spark, d):
-    return crawl_stats(_walk(spark, d, 2).visits)
+    return crawl_stats(_walk(spark, d, 2).visits).drop("task_id")
 
 
 @query

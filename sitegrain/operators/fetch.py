@@ -41,9 +41,9 @@ def fetch(frontier: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def first_per_key(frontier: DataFrame) -> DataFrame:
+def first_per_key(frontier: DataFrame, task: str = "task") -> DataFrame:
     """One row per ``task, url_key``: the smallest URL."""
-    return frontier.groupBy("task", "url_key").agg(F.min("url").alias("url"))
+    return frontier.groupBy(task, "url_key").agg(F.min("url").alias("url"))
 
 
 def unvisited(frontier: DataFrame, visited: DataFrame) -> DataFrame:

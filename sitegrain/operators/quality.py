@@ -14,7 +14,7 @@ from sitegrain.constants import USELESS_MAX_CHARS, USELESS_PHRASES
 
 try:
     from charset_normalizer import from_bytes as _detect
-except ImportError:  # detector is optional
+except ImportError:  # decode_pages raises when it meets bytes that need it
     _detect = None
 
 _BOMS = (
@@ -23,7 +23,9 @@ _BOMS = (
     (b"\xff\xfe", "utf-16"),
     (b"\xfe\xff", "utf-16"),
 )
-_MAX_PHRASES = 500
+_GB_FAMILY = ("gb2312", "gbk", "gb18030", "hz")
+# With fewer double-byte pairs the detector has too little to go by.
+_FEW_PAIRS = 16
 
 
 def _quoted(phrases: Sequence[str]) -> str:
@@ -40,11 +42,6 @@ def is_useless(
     phrases = [p for p in dict.fromkeys(phrases) if p]
     if not phrases:
         return F.lit(False)
-    if len(phrases) > _MAX_PHRASES:
-        raise ValueError(
-            f"{len(phrases)} phrases are too many for one expression: use match_patterns "
-            "and drop the short pages it reports"
-        )
     return F.coalesce(
         F.when(F.length(text) < max_chars, text.rlike(_quoted(phrases))).otherwise(False), F.lit(False)
     )
@@ -67,22 +64,24 @@ def drop_blank_pages(pages: DataFrame, body: str = "html") -> DataFrame:
     return pages.filter(~is_blank(F.col(body)))
 
 
-def _mostly_common_hanzi(raw: bytes) -> bool:
-    """Most double-byte pairs lie in the frequent block of the GB character set."""
+def _short_hanzi(raw: bytes) -> bool:
+    """A few double-byte pairs, most of them in the frequent block of the GB character set."""
     pairs = re.findall(rb"[\x81-\xfe][\x40-\x7e\x80-\xfe]", raw)
     common = sum(0xB0 <= p[0] <= 0xD7 and p[1] >= 0xA1 for p in pairs)
-    return bool(pairs) and common * 2 > len(pairs)
+    return 0 < len(pairs) < _FEW_PAIRS and common * 2 > len(pairs)
 
 
 def _decode_one(raw: bytes) -> str:
     """Decode bytes that are not valid UTF-8; empty when the guess does not hold."""
     guess = next((name for bom, name in _BOMS if raw.startswith(bom)), None)
-    if guess is None and _mostly_common_hanzi(raw):
+    if guess is None and _short_hanzi(raw):
         guess = "gb18030"
-    if guess is None and _detect is not None:
+    if guess is None:
+        if _detect is None:
+            raise RuntimeError("pages that are not UTF-8 need the package charset_normalizer")
         best = _detect(raw).best()
         guess = best.encoding if best else None
-        if guess in ("gb2312", "gbk"):
+        if guess in _GB_FAMILY:
             guess = "gb18030"
     try:
         return raw.decode(guess) if guess else ""
@@ -99,7 +98,8 @@ def decode_pages(pages: DataFrame, content: str = "content", out: str = "page_te
     """Adds the page text.
 
     Valid UTF-8 is decoded by Spark. Only the other bytes are handed to the Python
-    detector: the rest of the column reaches it as nulls. Null content gives ''.
+    detector, without which they raise: the rest of the column reaches it as nulls.
+    Null content gives ''.
     """
     raw = F.coalesce(F.col(content), F.lit(b""))
     as_text = raw.cast("string")

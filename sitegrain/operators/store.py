@@ -84,19 +84,23 @@ def _content_ids(batch: DataFrame) -> DataFrame:
     )
 
 
-def upsert_results(results: DataFrame, contents: DataFrame, batch: DataFrame) -> Stored:
+def upsert_results(
+    results: DataFrame, contents: DataFrame, batch: DataFrame, staging: Staging | None = None
+) -> Stored:
     """Both tables after a batch of ``task, url, page_text, update_time``.
 
-    The newest row per ``task, url`` wins. What wins, what goes and what is superseded
-    within the batch is decided on narrow rows, which are staged. Page bodies then only
-    meet lists of ids whose size is known, so that a short list is broadcast and the
-    bodies stay where they are. A replayed batch changes nothing.
+    The newest row per ``task, url`` wins. The batch is evaluated once and staged with
+    its ids, so both tables agree on them whatever it holds (a current time, say). What
+    wins, what goes and what is superseded is decided on narrow rows. Page bodies then
+    only meet lists of ids whose size is known, so that a short list is broadcast and
+    the bodies stay where they are. A batch of equal rows replayed changes nothing.
+
+    Both tables read from ``staging``, which the caller may pass, and release once they
+    are stored.
     """
-    staging = Staging(batch.sparkSession, "upsert")
-    arrived = staging.write(
-        _content_ids(batch).select("task", "url", F.col("content_id").alias("ref_content_id"), "update_time"),
-        "arrived",
-    )
+    staging = staging or Staging(batch.sparkSession, "upsert")
+    bodies = staging.write(_content_ids(batch.select("task", "url", "page_text", "update_time")), "batch")
+    arrived = bodies.select("task", "url", F.col("content_id").alias("ref_content_id"), "update_time")
     known = results.select("task", "url", "ref_content_id", "update_time")
     merged = staging.write(
         known.unionByName(arrived)
@@ -122,7 +126,6 @@ def upsert_results(results: DataFrame, contents: DataFrame, batch: DataFrame) ->
         superseded.unionByName(repeated).select(F.col("ref_content_id").alias("content_id"), "live"), "special"
     )
 
-    bodies = _content_ids(batch)
     single = bodies.join(special, "content_id", "left_anti")
     once = bodies.join(special.filter("live"), "content_id", "left_semi").dropDuplicates(["content_id"])
     fresh = put_contents(
@@ -219,23 +222,28 @@ class VersionedUpdate(NamedTuple):
 def update_versioned(
     df: DataFrame, updates: DataFrame, key: Sequence[str], version: str = "version"
 ) -> VersionedUpdate:
-    """Optimistic updates, at most one per key in ``updates``.
+    """Optimistic updates, of which at most one per key is applied.
 
     ``updates`` holds the key, the version that was read (same column name) and the
     columns to set. An update older than the stored version is ``rejected``;
-    otherwise it is ``applied`` and the version goes up by one. A stored null version
-    counts as 0. Keys without a row are ``missing``.
+    otherwise it is ``applied`` and the version goes up by one. Of several updates of a
+    key the one that read the highest version goes first, then the one with the largest
+    values; the others are then overdue, hence ``rejected``. A stored null version
+    counts as 0. Keys without a row are ``missing``. Outcomes have a row per update.
     """
     key = list(key)
     values = [c for c in updates.columns if c not in key and c != version]
-    sent = updates.select(
-        *key,
-        F.coalesce(F.col(version), F.lit(0)).alias("_sent"),
-        *[F.col(c).alias(f"_new_{c}") for c in values],
-        F.lit(True).alias("_asked"),
+    # Combined before the shuffle: a key with most of the updates is a row per task.
+    sent = (
+        updates.select(
+            *key, F.coalesce(F.col(version), F.lit(0)).alias("_sent"), *[F.col(c).alias(f"_new_{c}") for c in values]
+        )
+        .groupBy(*key)
+        .agg(F.count("*").alias("_asked"), F.max(F.struct("_sent", *[f"_new_{c}" for c in values])).alias("_first"))
+        .select(*key, "_asked", "_first.*")
     )
     stored = F.coalesce(F.col(version), F.lit(0))
-    ok = F.coalesce(F.col("_asked") & (F.col("_sent") >= stored), F.lit(False))
+    ok = F.coalesce(F.col("_sent") >= stored, F.lit(False))
     joined = df.join(sent, key, "left")
     table = joined.select(
         *[
@@ -247,10 +255,12 @@ def update_versioned(
             for c in df.columns
         ]
     )
-    outcomes = sent.join(df.select(*key, version, F.lit(True).alias("_known")), key, "left").select(
+    known = df.select(*key, version, F.lit(True).alias("_known"))
+    each = sent.join(known, key, "left").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_asked"))))
+    outcomes = each.select(
         *key,
         F.when(F.col("_known").isNull(), "missing")
-        .when(F.col("_sent") >= stored, "applied")
+        .when((F.col("_sent") >= stored) & (F.col("_turn") == 1), "applied")
         .otherwise("rejected")
         .alias("status"),
         F.when(F.col("_known").isNull(), F.lit(None))

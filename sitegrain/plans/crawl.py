@@ -19,6 +19,7 @@ from sitegrain.plans.staging import Staging
 
 VISITS = (
     T.StructType()
+    .add("task_id", "string")
     .add("task", "string")
     .add("url", "string")
     .add("url_key", "string")
@@ -32,9 +33,10 @@ VISITS = (
 class Crawl:
     """Result of a walk.
 
-    ``visits``: one row per URL tried, ``outcome`` being ``success``, ``failed``,
+    A task is a name with its limits, told apart by ``task_id``: one seed under two
+    limits makes two walks. ``visits``: one row per URL tried, ``outcome`` being ``success``, ``failed``,
     ``duplicate`` or ``invalid`` and ``page_state`` ``kept``, ``blank`` or ``useless``.
-    ``results``: ``task, url, page_text`` of the kept pages, read on demand.
+    ``results``: ``task_id, task, url, page_text`` of the kept pages, read on demand.
     ``release()`` drops the staged tables behind both.
     """
 
@@ -46,13 +48,19 @@ class Crawl:
     @property
     def results(self) -> DataFrame:
         bodies = self._pages.select(F.col("url").alias("page_url"), F.col("html").alias("page_text"))
-        joined = self._kept.select("task", "url", "page_url").join(bodies, "page_url").drop("page_url")
+        joined = self._kept.select("task_id", "task", "url", "page_url").join(bodies, "page_url").drop("page_url")
         return apply_hook(joined, self._hook)
 
     def release(self) -> None:
         self._staging.release()
 
 
+def task_id(task: Column, level: Column, max_depth: Column) -> Column:
+    """Identity of a task: its name and limits."""
+    limits = [c.cast("int").cast("string") for c in (level, max_depth)]
+    return F.md5(F.concat_ws("\u0000", task, *[F.coalesce(c, F.lit("")) for c in limits]))
+
+
 def page_graph(
     pages: DataFrame,
     phrases: Sequence[str] = USELESS_PHRASES,
@@ -85,14 +93,15 @@ def page_graph(
 
 
 def _seed_frontier(seeds: DataFrame, max_depth: int, level: int) -> DataFrame:
-    """``task, url, url_key, level, max_depth``; the last two from the seed table where
-    it has them."""
+    """``task_id, task, url, url_key, level, max_depth``; the last two from the seed
+    table where it has them."""
     limits = [
         (F.col(c) if c in seeds.columns else F.lit(v)).cast("int").alias(c)
         for c, v in (("level", level), ("max_depth", max_depth))
     ]
     task = F.col("task") if "task" in seeds.columns else F.col("url")
-    return seeds.select(task.alias("task"), "url", U.url_key(F.col("url")).alias("url_key"), *limits).distinct()
+    named = seeds.select(task.alias("task"), "url", U.url_key(F.col("url")).alias("url_key"), *limits).distinct()
+    return named.withColumn("task_id", task_id(F.col("task"), F.col("level"), F.col("max_depth")))
 
 
 def _deepest(seeds: DataFrame, max_depth: int) -> int:
@@ -129,7 +138,7 @@ def crawl(
     the snapshot that stands for the network.
 
     Links are extracted once into a staged graph. A round then moves narrow rows:
-    it takes the first URL per ``task, url_key``, leaves out keys of earlier rounds,
+    it takes the first URL per ``task_id, url_key``, leaves out keys of earlier rounds,
     looks the rest up in the page index, and expands the kept pages through the graph.
     Each round is staged, so a lost executor costs one round at most, and its size is
     known to the planner. Joins on ``url_key`` are left to adaptive execution, which
@@ -166,7 +175,7 @@ def crawl(
 def _visit(frontier: DataFrame, rounds: list[DataFrame], index: DataFrame, depth: int) -> DataFrame:
     """Outcome of every frontier URL of a round.
 
-    The smallest URL of each ``task, url_key`` stands for the key. It is found by an
+    The smallest URL of each ``task_id, url_key`` stands for the key. It is found by an
     aggregate and joined back, so no task has to hold all spellings of a key. A URL
     without a key takes part under a name of its own that matches nothing: as nulls
     such rows would all meet in one partition.
@@ -174,13 +183,13 @@ def _visit(frontier: DataFrame, rounds: list[DataFrame], index: DataFrame, depth
     keyed = frontier.withColumnRenamed("url_key", "valid_key").withColumn(
         "url_key", F.coalesce("valid_key", F.concat(F.lit("invalid:"), "url"))
     )
-    heads = first_per_key(keyed).withColumnRenamed("url", "first_url")
+    heads = first_per_key(keyed, "task_id").withColumnRenamed("url", "first_url")
     if rounds:
         seen = reduce(
             DataFrame.unionByName,
-            [r.filter(F.col("outcome").isin("success", "failed")).select("task", "url_key") for r in rounds],
+            [r.filter(F.col("outcome").isin("success", "failed")).select("task_id", "url_key") for r in rounds],
         )
-        heads = heads.join(seen, ["task", "url_key"], "left_anti")
+        heads = heads.join(seen, ["task_id", "url_key"], "left_anti")
     heads = heads.join(index, "url_key", "left")
     outcome = (
         F.when(F.col("valid_key").isNull(), "invalid")
@@ -190,9 +199,10 @@ def _visit(frontier: DataFrame, rounds: list[DataFrame], index: DataFrame, depth
     )
     success = F.col("outcome") == "success"
     return (
-        keyed.join(heads, ["task", "url_key"], "left")
+        keyed.join(heads, ["task_id", "url_key"], "left")
         .withColumn("outcome", outcome)
         .select(
+            "task_id",
             "task",
             "url",
             F.col("valid_key").alias("url_key"),
@@ -209,14 +219,16 @@ def _visit(frontier: DataFrame, rounds: list[DataFrame], index: DataFrame, depth
 def _expand(done: DataFrame, graph: DataFrame, depth: int) -> DataFrame:
     """Distinct links of the kept pages of a round, inside each task's level and depth."""
     sources = done.filter((F.col("page_state") == "kept") & (F.col("max_depth") >= depth)).select(
-        "task", "page_url", "level", "max_depth"
+        "task_id", "task", "page_url", "level", "max_depth"
     )
     links = graph.select(F.col("url").alias("page_url"), "links").filter(F.size("links") > 0)
     return (
         sources.join(links, "page_url")
-        .select("task", "level", "max_depth", F.explode("links").alias("l"))
+        .select("task_id", "task", "level", "max_depth", F.explode("links").alias("l"))
         .filter(F.col("l.scope") <= F.col("level"))
-        .select("task", F.col("l.url").alias("url"), F.col("l.url_key").alias("url_key"), "level", "max_depth")
+        .select(
+            "task_id", "task", F.col("l.url").alias("url"), F.col("l.url_key").alias("url_key"), "level", "max_depth"
+        )
         .distinct()
     )
 
@@ -246,7 +258,7 @@ def crawl_stats(visits: DataFrame, seconds: float | None = None, total: bool = F
     """
     outcome, state = F.col("outcome"), F.col("page_state")
     dropped = F.coalesce(state.isin("blank", "useless"), F.lit(False))
-    counted = (visits if total else visits.groupBy("task")).agg(
+    counted = (visits if total else visits.groupBy("task_id", "task")).agg(
         F.count_if(outcome.isin("success", "failed")).alias("downloads"),
         F.count_if(outcome == "success").alias("success"),
         F.count_if(dropped).alias("useless"),

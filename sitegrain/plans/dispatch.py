@@ -9,7 +9,7 @@ from sitegrain.operators.export import save_pages
 from sitegrain.operators.links import LEVELS
 from sitegrain.operators.quality import apply_hook
 from sitegrain.operators.routing import Registry, route_tasks, run_sinks
-from sitegrain.plans.crawl import Crawl, crawl
+from sitegrain.plans.crawl import Crawl, crawl, task_id
 
 
 def _runnable() -> Column:
@@ -38,8 +38,8 @@ def crawl_tasks(
     walk = crawl(routed.select("url", "level", "max_depth"), pages, **options)
     for name in registry.names():
         handler = registry[name]
-        own = routed.filter(F.col("spider") == name).select(F.col("url").alias("task"))
-        kept = apply_hook(walk.results.join(own, "task", "left_semi"), handler.hook)
+        own = routed.filter(F.col("spider") == name).select(task_id(F.col("url"), F.col("level"), F.col("max_depth")).alias("task_id"))
+        kept = apply_hook(walk.results.join(own, "task_id", "left_semi"), handler.hook)
         if handler.sinks:
             run_sinks(kept, handler.sinks)
         elif output:

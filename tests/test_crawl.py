@@ -165,3 +165,18 @@ def test_deny_lists(spark):
     listed = spark.createDataFrame([("x.com",), ("x.com",)], "d string")
     kept = fetch.drop_denied(df, listed, ["b.y.com"], ["http://c.z.com/3"])
     assert [r.url for r in kept.collect()] == ["http://d.w.com/4"]
+
+
+def test_one_url_under_two_limits_is_two_walks(spark):
+    pages = spark.createDataFrame(
+        [("http://a.com/", '<a href="/b">b</a>' + "x" * 1000), ("http://a.com/b", "text " * 300)], "url string, html string"
+    )
+    table = spark.createDataFrame(
+        [("http://a.com/", 0, 0), ("http://a.com/", 0, 1), ("http://a.com/", 0, 1)], "url string, level int, max_depth int"
+    )
+    walk = crawl(table, pages)
+    rows = walk.visits.filter("outcome = 'success'").groupBy("task_id").count().collect()
+    assert sorted(r["count"] for r in rows) == [1, 2]
+    assert sorted(r.url for r in walk.results.collect()) == ["http://a.com/", "http://a.com/", "http://a.com/b"]
+    stats = crawl_stats(walk.visits).collect()
+    assert sorted((r.task, r.downloads) for r in stats) == [("http://a.com/", 1), ("http://a.com/", 2)]

@@ -37,8 +37,29 @@ def test_useless_needs_a_phrase_and_a_short_text(spark):
     assert [r.page_id for r in quality.drop_useless_pages(df).collect()] == [1, 2, 3, 4]
     kept = quality.drop_useless_pages(df, phrases=["(?i)fine", "a\\Eb"]).count()
     assert kept == len(texts)
-    with pytest.raises(ValueError):
-        quality.is_useless(F.col("html"), [f"p{i}" for i in range(501)])
+    many = [f"p{i}q" for i in range(5000)] + ["fine"]
+    assert quality.drop_useless_pages(df, phrases=many).count() == len(texts) - 1
+
+
+PARAGRAPHS = {
+    "euc-kr": "대한민국의 수도는 서울이며 인구가 가장 많은 도시이다. 한강을 중심으로 남북으로 나뉘어 있으며 정치와 경제와 문화의 중심지이다.",
+    "euc-jp": "日本国憲法前文。日本国民は、正当に選挙された国会における代表者を通じて行動し、われらとわれらの子孫のために、諸国民との協和による成果を確保する。",
+    "gb18030": "北京是中华人民共和国的首都，是全国的政治中心和文化中心。这座城市有三千多年的建城历史，名胜古迹众多，每年吸引大量游客前来参观。",
+}
+
+
+def test_paragraphs_in_other_charsets(spark):
+    rows = [(name, text.encode(name)) for name, text in PARAGRAPHS.items()]
+    rows.append(("short", "网站维护中".encode("gb18030")))
+    df = spark.createDataFrame(rows, "name string, content binary")
+    got = dict(quality.decode_pages(df).select("name", "page_text").collect())
+    assert got == {**PARAGRAPHS, "short": "网站维护中"}
+
+
+def test_unknown_bytes_need_the_detector(monkeypatch):
+    monkeypatch.setattr(quality, "_detect", None)
+    with pytest.raises(RuntimeError):
+        quality._decode_one(PARAGRAPHS["euc-kr"].encode("euc-kr"))
 
 
 def test_every_phrase_is_found(spark):

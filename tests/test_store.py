@@ -1,5 +1,6 @@
 """Results and contents: merge, update, delete, purge, search, export."""
 
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.errors import MissingRowsError
 from sitegrain.operators import export, search, store
+from sitegrain.plans.staging import Staging
 from sitegrain.sources.seeds import read_raw_pages
 
 T0 = datetime(2024, 1, 1)
@@ -76,6 +78,35 @@ def test_versioned_update(spark):
     assert {tuple(r) for r in table.collect()} == {("a", 3, "x"), ("b", 4, "y"), ("c", 1, "y"), ("d", 1, "x")}
 
 
+def test_one_of_several_updates_of_a_key_is_applied(spark):
+    df = spark.createDataFrame([("a", 3, "x"), ("b", 9, "x")], "k string, version int, v string")
+    sent = spark.createDataFrame(
+        [("a", 3, "y"), ("a", 4, "z"), ("a", 4, "z"), ("a", 1, "w"), ("b", 1, "y"), ("b", 2, "y"), ("c", 0, "y"), ("c", 0, "y")],
+        "k string, version int, v string",
+    )
+    table, outcomes = store.update_versioned(df, sent, ["k"])
+    assert sorted(tuple(r) for r in table.collect()) == [("a", 4, "z"), ("b", 9, "x")]
+    assert Counter((r.k, r.status, r.version) for r in outcomes.collect()) == {
+        ("a", "applied", 4): 1, ("a", "rejected", 4): 3, ("b", "rejected", 9): 2, ("c", "missing", None): 2
+    }
+
+
+def test_a_batch_that_cannot_be_repeated_keeps_its_contents(spark):
+    stamped = spark.createDataFrame([("t", f"u{i}", f"text {i}") for i in range(50)], "task string, url string, page_text string")
+    stamped = stamped.withColumn("update_time", F.current_timestamp() + F.make_dt_interval(secs=F.rand().cast("decimal(18,6)")))
+    stored = store.upsert_results(*empty(spark), stamped)
+    joined = stored.results.join(stored.contents, F.col("ref_content_id") == F.col("content_id"))
+    assert joined.count() == stored.results.count() == stored.contents.count() == 50
+
+
+def test_staged_upserts_can_be_released(spark, tmp_path):
+    staging = Staging(spark, "released")
+    stored = store.upsert_results(*empty(spark), batch(spark, ("t", "a", "x", 0)), staging)
+    stored.results.write.parquet(str(tmp_path / "results"))
+    staging.release()
+    assert spark.read.parquet(str(tmp_path / "results")).count() == 1
+
+
 def test_update_rewrites_only_touched_partitions(spark, tmp_path):
     path = str(tmp_path / "p")
     spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "v int, k string").write.partitionBy("k").parquet(path)
