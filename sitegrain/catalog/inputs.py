@@ -137,11 +137,13 @@ def framed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page texts brought to 990, 999, 1000 or 1010 characters, most with a phrase."""
+    """Whole page texts, most led by a phrase, and beside each under ``-page_id - 1`` a text
+    of 990, 999, 1000 or 1010 characters made of the phrase alone."""
     size = F.get(F.array(*map(F.lit, (990, 999, 1000, 1010))), F.col("page_id") % 4)
     phrase = by_turn("page_id", "404 Not Found", "网站维护中", "", "loading...", "BadRequest(InvalidHostname)")
-    filled = F.rpad(F.concat(phrase, F.col("html")), size, ".")
-    return table(spark, sf_dir, "pages").select("page_id", filled.alias("html"))
+    pages = table(spark, sf_dir, "pages")
+    whole = pages.select("page_id", F.concat(phrase, "html").alias("html"))
+    return whole.unionByName(pages.select((-F.col("page_id") - 1).alias("page_id"), F.rpad(phrase, size, ".").alias("html")))
 
 
 def redirecting_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +158,7 @@ def redirecting_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id",
         F.concat(F.lit('<head><meta http-equiv="refresh" content="0;URL='), t, F.lit('"></head>'), h),
         F.concat(F.lit('<head><script>window.onload=function(){top.location.href="'), t, F.lit('"}</script></head>'), h),
-        F.concat(F.lit('<body>\r\n<script>window.navigate("'), t, F.lit('")</script></body>')),
+        F.concat(F.lit('<body>\r\n<script>window.navigate("'), t, F.lit('")</script></body>'), h),
         F.concat(F.lit('<script>location="'), t, F.lit('"</script>'), h),
         F.concat(F.lit('<head><meta content="0;url='), F.col("url"), F.lit('"></head>'), h),
         F.concat(F.lit('<head><meta content="0;url=http://gone.example.com/x"></head>'), h),

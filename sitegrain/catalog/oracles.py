@@ -140,16 +140,16 @@ FRAMED = """(SELECT page_id, html || CASE page_id % 5
 FRAMES = """(SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/f' || page_id
     ELSE 'http://f.example.com/' || page_id END AS link FROM pages WHERE page_id % 5 IN (0, 2))"""
 
-MARKED = """(SELECT page_id, rpad(t, s, '.') AS html FROM (SELECT page_id,
-    ([990, 999, 1000, 1010])[page_id % 4 + 1]::INT AS s,
+MARKED = """(WITH m AS (SELECT page_id, html, ([990, 999, 1000, 1010])[page_id % 4 + 1]::INT AS s,
     CASE page_id % 5 WHEN 0 THEN '404 Not Found' WHEN 1 THEN '网站维护中' WHEN 2 THEN ''
-      WHEN 3 THEN 'loading...' ELSE 'BadRequest(InvalidHostname)' END || html AS t FROM pages))"""
+      WHEN 3 THEN 'loading...' ELSE 'BadRequest(InvalidHostname)' END AS mark FROM pages)
+    SELECT page_id, mark || html AS html FROM m UNION ALL SELECT -page_id - 1, rpad(mark, s, '.') FROM m)"""
 
 REDIRECTING = """(SELECT a.page_id, a.url, b.url AS goal, a.html AS plain,
     CASE a.page_id % 7
     WHEN 0 THEN '<head><meta http-equiv="refresh" content="0;URL=' || b.url || '"></head>' || a.html
     WHEN 1 THEN '<head><script>window.onload=function(){top.location.href="' || b.url || '"}</script></head>' || a.html
-    WHEN 2 THEN '<body>' || chr(13) || chr(10) || '<script>window.navigate("' || b.url || '")</script></body>'
+    WHEN 2 THEN '<body>' || chr(13) || chr(10) || '<script>window.navigate("' || b.url || '")</script></body>' || a.html
     WHEN 3 THEN '<script>location="' || b.url || '"</script>' || a.html
     WHEN 4 THEN '<head><meta content="0;url=' || a.url || '"></head>' || a.html
     WHEN 5 THEN '<head><meta content="0;url=http://gone.example.com/x"></head>' || a.html
