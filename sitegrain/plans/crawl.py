@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sitegrain.constants import TASK_DEFAULTS, USELESS_MAX_CHARS, USELESS_PHRASES
 from sitegrain.functions import urls as U
-from sitegrain.operators.fetch import drop_denied, first_per_key, page_index
+from sitegrain.operators.fetch import drop_denied, first_per_key, graph_index
 from sitegrain.operators.links import LEVELS, check_level, page_links
 from sitegrain.operators.quality import apply_hook, is_blank, is_useless
 from sitegrain.operators.redirects import follow_redirects
@@ -152,7 +152,7 @@ def crawl(
     denied = {"domains": deny_domains, "hosts": deny_hosts, "urls": deny_urls}
 
     graph = staging.write(page_graph(pages, phrases, max_chars, keep_port, strict_resolve), "graph")
-    index = staging.write(page_index(graph, "url", "page_state"), "index")
+    index = staging.write(graph_index(graph), "index")
     frontier = _seed_frontier(seeds, max_depth, level)
     deepest = _deepest(seeds, max_depth)
 
