@@ -191,7 +191,7 @@ def verified(pairs: DataFrame, rows: DataFrame, similar: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, sets: DataFrame, stage: Staging, k: int, similar: int, block_columns: int) -> DataFrame:
-    """``c, n, tokens``, one row per distinct set that may have a partner."""
+    """``c, n, blocks``, one row per distinct set that may have a partner: its shingles by column block."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # As a document has about a word in six bytes, blocks hold about ``block_columns`` incidences.
     bits = max(0, int(np.ceil(np.log2(max(1.0, total / 6 / block_columns)))))
@@ -212,12 +212,14 @@ def candidates(docs: DataFrame, sets: DataFrame, stage: Staging, k: int, similar
         left.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d._k") == F.col("l._k"))
     )
     # Rows that repeat an id and a text are one.
-    return texts.select("c", "n", "text").mapInArrow(_rows(k), "c long, n long, tokens array<long>").groupBy("c", "n").agg(F.first("tokens").alias("tokens"))
+    distinct = texts.select("c", "n", "text").mapInArrow(_rows(k), "c long, n long, tokens array<long>").groupBy("c", "n").agg(F.first("tokens").alias("tokens"))
+    in_block = lambda b: F.filter("tokens", lambda t: F.pmod(t, F.lit(BLOCKS)) == b)
+    return distinct.select("c", "n", F.array(*[F.struct(F.lit(b).alias("block"), in_block(b).alias("tokens")) for b in range(BLOCKS)]).alias("blocks"))
 
 
 def _postings(rows: DataFrame, stage: Staging, similar: int) -> DataFrame:
     """Rare parts: ``token, c, n, room`` where ``room`` is how many shared shingles stand from this one on."""
-    cells = rows.select("c", "n", F.explode("tokens").alias("token"))
+    cells = rows.select("c", "n", F.explode(F.flatten("blocks.tokens")).alias("token"))
     often = cells.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ordered = cells.join(often, "token").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     m, need = F.size("t"), least_overlap(F.col("n"), similar)
@@ -231,13 +233,8 @@ def link_components(docs: DataFrame, stage: Staging, k: int = SHINGLE, similar:
     sets = stage.write(
         docs.select("doc_id", "text", text_key("text").alias("_k")).mapInArrow(_measure(k), f"doc_id {id_type}, _k binary, n_shingles long, c long"), "sets"
     )
-    tokens = stage.write(candidates(docs, sets, stage, k, similar, block_columns), "tokens")
-    postings = _postings(tokens, stage, similar)
-    in_block = lambda b: F.filter("tokens", lambda t: F.pmod(t, F.lit(BLOCKS)) == b)
-    rows = stage.write(
-        tokens.join(postings.select("c").distinct(), "c", "left_semi").select("c", "n", F.array(*[F.struct(F.lit(b).alias("block"), in_block(b).alias("tokens")) for b in range(BLOCKS)]).alias("blocks")),
-        "rows",
-    )
+    rows = stage.write(candidates(docs, sets, stage, k, similar, block_columns), "rows")
+    postings = _postings(rows, stage, similar)
     links = stage.write(postings.select(F.col("c").alias("a"), F.col("c").alias("b")).where("false"), "links0")
     tried, roots, r = links, None, 0
 
@@ -249,6 +246,11 @@ def link_components(docs: DataFrame, stage: Staging, k: int = SHINGLE, similar:
         # shingle at first, then some drawn at random.
         r += 1
         now = with_roots()
+        if roots is not None:
+            # Components only grow, so a shingle inside one component is done with.
+            split = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+            now = stage.write(now.join(split, "token", "left_semi"), f"split{r}")
+            postings = now.drop("root")
         orders = [F.col("n")] if r == 1 else [F.xxhash64(F.lit(100 * r + i), "c") for i in range(CENTRES[r - 1])]
         marks = [F.min(F.struct(o.alias("h"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b"), F.col("room").alias("room_b"))) for o in orders]
         centres = now.groupBy("token").agg(F.array_distinct(F.transform(F.array(*marks), lambda m: m.dropFields("h"))).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
