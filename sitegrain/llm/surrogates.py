@@ -17,7 +17,7 @@ from sitegrain.plans.staging import Staging
 
 # What counts as an entity, and words that tell a person's gender.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-SECRET = r"\b(?i:password|passwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_+/-]{8,}"
+SECRET = r"\b(?i:password|passwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?(?=[_+/-]*+[A-Za-z0-9])[A-Za-z0-9_+/-]{8,}"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])"
 SSN = r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"
@@ -47,6 +47,9 @@ SYLLABLES = {
 }
 _HEX = "0123456789abcdef"
 
+# Fixed value: attempts in the shape of a secret before its surrogates grow.
+SHAPE_ATTEMPTS = 8
+
 
 def entities(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({ENTITY})"), F.lit(1))
@@ -139,8 +142,12 @@ def _name(val: Column, seed: Column) -> Column:
 
 def surrogate_value(k: Column, val: Column, attempt: Column, key: str) -> Column:
     """The value that stands for ``val``: same type and shape, from a keyed digest. Later
-    attempts draw from the same space, so a space that is nearly full takes more of them."""
+    attempts draw from the same space, so a space that is nearly full takes more of them.
+    The space of a secret may be smaller than the number of its originals: from attempt
+    ``SHAPE_ATTEMPTS`` on, each attempt gives one more character of a kind that it has."""
     digest = F.sha2(F.concat_ws("\x01", F.lit(key), k, val, attempt.cast("string")), 256)
+    more = F.when(val.rlike("[a-z]"), "a").when(val.rlike("[A-Z]"), "A").otherwise("0")
+    shape = F.concat(val, F.repeat(more, F.greatest(attempt - SHAPE_ATTEMPTS + 1, F.lit(0)).cast("int")))
     part = lambda s, i, n: F.conv(F.substring(s, i, 6), 16, 10).cast("long") % n
 
     def phone(seed: Column) -> Column:
@@ -152,8 +159,8 @@ def surrogate_value(k: Column, val: Column, attempt: Column, key: str) -> Column
     def of(seed: Column) -> Column:
         return (
             F.when(k == "email", F.concat(_like(F.substring_index(val, "@", 1), seed), F.lit("@"), F.translate(F.substring(seed, 33, 10), _HEX, "abcdefghijkmnprs"), F.lit(".example")))
-            .when((k == "secret") & val.rlike("^[0-9a-f]+$"), F.array_join(F.transform(F.split(val, ""), lambda c, i: _at(seed, i)), ""))
-            .when(k == "secret", _like(val, seed))
+            .when((k == "secret") & val.rlike("^[0-9a-f]+$"), F.array_join(F.transform(F.split(shape, ""), lambda c, i: _at(seed, i)), ""))
+            .when(k == "secret", _like(shape, seed))
             .when(k == "ip", F.concat_ws(".", (part(seed, 1, 223) + 1).cast("string"), part(seed, 7, 256).cast("string"), part(seed, 13, 256).cast("string"), (part(seed, 19, 254) + 1).cast("string")))
             .when(k == "card", _luhn(F.concat(F.substring(val, 1, 1), F.substring(_digits(seed), 2, 14))))
             .when(k == "name", _name(val, seed))

@@ -210,6 +210,17 @@ def test_surrogates_that_are_taken_try_again(spark, stage, monkeypatch):
     assert len(set(got)) == 9 and "3" not in got
 
 
+def test_blanks_are_no_secrets_and_tiny_shapes_grow(docs, stage):
+    """26 letters and 10 digits, each with nothing but underscores: more than their shapes give."""
+    blanks = ["Password: ________", "token = --------", "secret: __++//--"]
+    tiny = [f"token={c}_______" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    out = {r["doc_id"]: r for r in surrogates.surrogate_report(docs(*enumerate(blanks + tiny)), stage).collect()}
+    assert [(out[i]["n_entities"], out[i]["text"]) for i in range(3)] == [(0, t) for t in blanks]
+    new = [out[i]["text"] for i in range(3, 39)]
+    assert len(set(new)) == 36 and not set(new) & set(tiny)
+    assert all(re.fullmatch("token=[a-z]_{7}[a-z]*", t) for t in new[:26]) and all(re.fullmatch("token=[0-9]_{7}[0-9]*", t) for t in new[26:])
+
+
 def every_repair(roles):
     """Least cost by trying everything, one turn at a time."""
     best = {0: 0.0}
