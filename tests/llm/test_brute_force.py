@@ -221,6 +221,42 @@ def test_blanks_are_no_secrets_and_tiny_shapes_grow(docs, stage):
     assert all(re.fullmatch("token=[a-z]_{7}[a-z]*", t) for t in new[:26]) and all(re.fullmatch("token=[0-9]_{7}[0-9]*", t) for t in new[26:])
 
 
+def test_people_are_followed_without_titles(docs, stage):
+    rows = [
+        "Mrs. Anna Smith came. Anna Smith spoke, Smith's way; Mrs Smith left for Bonn.",
+        "Dr Anna Smith",
+        "Mrs Anna Smith and Mr John Smith: John Smith, then Anna Smith. Mr Smith and Mrs Smith. Prof. Mary Ann O'Brien-Fox (O'Brien-Fox)",
+        "Anna Smith without a title",
+    ]
+    out = {r["doc_id"]: r for r in surrogates.surrogate_report(docs(*enumerate(rows)), stage).collect()}
+    anna = re.match(r"Mrs\. (\w+) (\w+) came\. (\w+) (\w+) spoke, (\w+)'s way; Mrs (\w+) left for Bonn\.$", out[0]["text"]).groups()
+    assert anna[:2] == anna[2:4] and set(anna[4:]) == {anna[1]} and anna[0] in surrogates.FIRST["latin"]["f"]
+    assert (out[0]["n_entities"], out[0]["kinds"]) == (5, "name,name,name,name,name")
+    assert out[1]["text"] == f"Dr {anna[0]} {anna[1]}"
+    john = re.match(rf"Mrs {anna[0]} {anna[1]} and Mr (\w+) (\w+): (\w+) (\w+), then {anna[0]} {anna[1]}\. Mr (\w+) and Mrs {anna[1]}\. Prof\. \w+ \w+ (\w+) \((\w+)\)$", out[2]["text"]).groups()
+    assert john[:2] == john[2:4] and john[4] == john[1] != anna[1] and john[5] == john[6]
+    assert out[3]["text"] == rows[3] and out[3]["n_entities"] == 0
+
+
+def test_phones_of_other_countries_and_hexadecimal_in_capitals(docs, stage):
+    phones = [
+        "+49 30 1234567", "030 1234567", "(030) 1234567", "0171/1234567", "+49 (0)171 1234567", "+33 1 23 45 67 89", "01 23 45 67 89", "0123456789",
+        "+34 612 34 56 78", "612 34 56 78", "612 345 678", "91 123 45 67", "0034 911234567", "2125551000", "+1 (212) 555-1000", "+12125551000",
+    ]
+    kept = ["01.02.2024", "01/02/2024", "2024-01-02", "1700000000", "0.2125551000", "12 345 678"]
+    secrets = ['TOKEN = "9233A8EC00FF"', "token=9233a8ec00ff"]
+    out = {r["doc_id"]: r for r in surrogates.surrogate_report(docs(*enumerate(f"Call {t} now" for t in phones + kept + secrets)), stage).collect()}
+    new = [out[i]["text"][5:-4] for i in range(len(phones) + len(kept) + len(secrets))]
+    for i, (a, b) in enumerate(zip(phones, new)):
+        assert out[i]["kinds"] == "phone" and a != b and re.sub("[0-9]", "0", a) == re.sub("[0-9]", "0", b), (a, b)
+    assert new[len(phones) : -2] == kept
+    national = [re.sub(r"^(\+|00)(49|33|34|1)|^\(?0|[^0-9]", "", t.replace("(0)", "")) for t in new]
+    national = [re.sub("[^0-9]", "", t) for t in national]
+    assert len({*national[:3]}) == len({*national[3:5]}) == len({*national[5:8]}) == len({*national[8:11]}) == len({*national[11:13]}) == len({*national[13:16]}) == 1
+    upper, lower = re.match(r'TOKEN = "([0-9A-F]{12})"', new[-2])[1], re.match("token=([0-9a-f]{12})", new[-1])[1]
+    assert upper.lower() == lower != "9233a8ec00ff"
+
+
 def every_repair(roles):
     """Least cost by trying everything, one turn at a time."""
     best = {0: 0.0}
