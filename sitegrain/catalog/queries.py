@@ -118,8 +118,11 @@ def fetch_log_parse(spark, d):
 
 @query
 def raw_pages(spark, d):
-    return seeds.read_raw_pages(spark, d, "pages.parquet").select(
-        F.substring_index("filename", "/", -1).alias("name"), "length"
+    folder = Staging(spark, "raw").path
+    named = table(spark, d, "pages").select(F.concat("page_id", F.lit(".html")).alias("name"), "html")
+    seeds.write_raw_pages(named, f"{folder}/pages", "name", "html")
+    return seeds.read_raw_pages(spark, f"{folder}/pages").select(
+        F.substring_index("filename", "/", -1).alias("name"), "length", F.md5("content").alias("md5")
     )
 
 

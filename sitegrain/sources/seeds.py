@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitegrain.operators.store import put_contents
 
@@ -56,3 +62,29 @@ def read_raw_pages(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
         .load(path)
     )
     return put_contents(files, "path", "content", upload_date=F.col("modificationTime"))
+
+
+def write_raw_pages(pages: DataFrame, path: str, name: str, body: str) -> int:
+    """One file per row under a folder that all tasks reach, written by the tasks; how many.
+
+    Files are dealt over 256 folders by name. A row whose name another has replaces its file, so
+    a task that runs again leaves the same files. A null body is an empty file, a null name fails.
+    ``path`` is of a file system that ``pyarrow.fs`` opens.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = FileSystem.from_uri(path)
+        made = set()
+        for batch in batches:
+            for file, content in zip(batch["name"].to_pylist(), batch["body"].to_pylist(), strict=True):
+                folder = f"{base}/{zlib.crc32(file.encode()) % 256:02x}"
+                if folder not in made:
+                    fs.create_dir(folder)
+                    made.add(folder)
+                with fs.open_output_stream(f"{folder}/{file}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+
+    content = F.col(body) if isinstance(pages.schema[body].dataType, T.BinaryType) else F.encode(body, "UTF-8")
+    rows = pages.select(F.col(name).cast("string").alias("name"), F.coalesce(content, F.lit(b"")).alias("body"))
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

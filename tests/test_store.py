@@ -6,6 +6,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from check import compare, connect
+from sitegrain.catalog.queries import QUERIES
 from sitegrain.errors import MissingRowsError
 from sitegrain.operators import export, search, store
 from sitegrain.plans.staging import Staging
@@ -54,6 +56,11 @@ def test_put_and_read_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 5
 
 
+def test_raw_pages_are_read_one_by_one(spark, sf_dir):
+    sql = "SELECT page_id || '.html' AS name, strlen(coalesce(html, ''))::BIGINT AS length, md5(coalesce(html, '')) AS md5 FROM pages"
+    assert compare(QUERIES["raw_pages"](spark, sf_dir), connect(sf_dir), sql) == ""
+
+
 def test_update_rows(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, v string")
     up = lambda cond, val, **kw: [tuple(r) for r in store.update_rows(df, cond, val, **kw).orderBy("id").collect()]
