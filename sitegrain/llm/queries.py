@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegrain.llm import chat, language_id, language_model, lines, mixing, ngram_join, outliers, surrogates, url_words, winnowing
+from sitegrain.llm import chat, collocations, language_id, language_model, lines, minhash, mixing, ngram_join, outliers, surrogates, url_words, whitening, winnowing
 from sitegrain.llm.common import table
 from sitegrain.plans.staging import Staging
 
@@ -51,10 +51,23 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_report(table(spark, sf_dir, "documents"), Staging(spark, "op10"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), Staging(spark, "op11"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), Staging(spark, "op12"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), Staging(spark, "op13"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_surrogates, op3_mixing, op4_quality, op5_chat, op6_decontamination,
         op7_line_dedup, op8_ngram_join, op9_url_filter, op10_language_model,
+        op11_minhash, op12_collocations, op13_whitening,
     )
 }
