@@ -61,7 +61,9 @@ def by_cell(dealt: DataFrame, compare: Callable[[pa.Table], tuple[np.ndarray, np
         if held:
             yield from out()
 
-    return dealt.select("cell", *columns).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+    # A fixed number of partitions: little data, much work.
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.select("cell", *columns).repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
 def forest(m: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sitegrain.llm.arrays import Words, grams, grams_inside, mix64, slices, text_bytes
+from sitegrain.llm.bits import bit_table, known
 from sitegrain.llm.common import lower_ascii
 from sitegrain.plans.staging import Staging
 
@@ -32,8 +33,6 @@ TRIGGER = 8
 #: Characters that end a piece, and those between words.
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 BLANKS = " \t"
-#: Least and most slots of a bit table: 128 KiB and 64 MiB. It has 16 slots for each frequent phrase, up to that bound.
-SLOT_BITS = (20, 29)
 
 _WORD = np.ones(256, bool)
 _WORD[[ord(c) for c in BLANKS]] = False
@@ -118,11 +117,6 @@ class _Level:
         return np.flatnonzero(grams_inside(self.words.first, len(self.words.hash), k)), mix64(h ^ self.salt[: len(h)])
 
 
-def _known(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = h & np.uint64(len(bits) * 8 - 1)
-    return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def _candidates(level: _Level, k: int, shared: list) -> tuple[np.ndarray, np.ndarray]:
     """Own places of phrases of ``k`` words both of whose parts may be frequent, and their hashes."""
     at, h = level.places(k)
@@ -130,8 +124,8 @@ def _candidates(level: _Level, k: int, shared: list) -> tuple[np.ndarray, np.nda
     if k > 1:
         bits = shared[k - 2].value
         _, part = level.places(k - 1)
-        at = at[_known(bits, part[at])]
-        at = at[_known(bits, part[at + 1])]
+        at = at[known(bits, part[at])]
+        at = at[known(bits, part[at + 1])]
     return at, h[at]
 
 
@@ -161,8 +155,8 @@ def _phrases(levels: int, shared: list) -> Callable:
                 row = w.text_of_word()
                 for k in range(1, levels + 1):
                     at, h = _candidates(level, k, shared)
-                    known = _known(shared[k - 1].value, h)
-                    at, h = at[known], h[known]
+                    may = known(shared[k - 1].value, h)
+                    at, h = at[may], h[may]
                     g, where, of = np.unique(h, return_index=True, return_inverse=True)
                     n = np.zeros(len(g), np.int64)
                     np.add.at(n, of, level.weight[at])
@@ -175,20 +169,6 @@ def _phrases(levels: int, shared: list) -> Callable:
     return run
 
 
-def bit_table(hashes: DataFrame) -> np.ndarray:
-    """Slots of ``g``: 16 for each hash, rounded up to a power of two, within ``SLOT_BITS``. A larger set fills
-    its table more, lets more through and changes no count."""
-    n = hashes.count()
-    bits = min(max(SLOT_BITS[0], int(np.ceil(np.log2(16 * n + 1)))), SLOT_BITS[1])
-    slot = F.col("g").bitwiseAND(F.lit((1 << bits) - 1)) + 1
-    parts = hashes.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    table = np.zeros(1 << (bits - 3), np.uint8)
-    for row in parts.toLocalIterator():
-        at = (row["part"] - 1) * 4096
-        table[at : at + 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    return table
-
-
 def frequent_phrases(chunks: DataFrame, stage: Staging, least: int, longest: int) -> DataFrame:
     """``lang, phrase, k, f`` of every phrase of up to ``longest`` words that occurs ``least`` times or more."""
     spark, shared = chunks.sparkSession, []
@@ -221,16 +201,16 @@ def collocations(docs: DataFrame, stage: Staging, least: int = FREQUENT, top: in
         raise ValueError(f"chunks overlap for phrases of {LONGEST} words")
     chunks = stage.write(dictionary(docs), "dictionary")
     total = chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("freq")).alias("n"))
-    known = frequent_phrases(chunks, stage, least, longest)
-    split = known.where("k > 1").withColumn("w", F.split("phrase", " "))
+    often = frequent_phrases(chunks, stage, least, longest)
+    split = often.where("k > 1").withColumn("w", F.split("phrase", " "))
     # A longer candidate that occurs as often as a part of it takes the part's place.
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("k") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("k") - m + 1), lambda s: _part(F.col("w"), s, m))))
     covered = split.where("k > 2").select("lang", F.explode(inner).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("_longer"))
     cut = F.explode(F.transform(F.sequence(F.lit(1), F.col("k") - 1), lambda c: F.struct(c.alias("c"), _part(F.col("w"), 1, c).alias("p"), _part(F.col("w"), c + 1, F.col("k") - c).alias("q"))))
     kept = split.join(covered, ["lang", "phrase"], "left").where("_longer IS NULL OR _longer < f")
     cuts = kept.select("lang", "phrase", F.col("f").alias("a"), cut.alias("x")).select("lang", "phrase", "a", "x.c", "x.p", "x.q")
-    f = known.select("lang", F.col("phrase").alias("p"), F.col("f").alias("l"))
-    g = known.select("lang", F.col("phrase").alias("q"), F.col("f").alias("r"))
+    f = often.select("lang", F.col("phrase").alias("p"), F.col("f").alias("l"))
+    g = often.select("lang", F.col("phrase").alias("q"), F.col("f").alias("r"))
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     scored = cuts.join(f, ["lang", "p"]).join(g, ["lang", "q"]).join(total, "lang").withColumns({"_up": F.lit(1000).cast("decimal(4,0)") * wide("a") * wide("n"), "_down": wide("l") * wide("r")})
     best = (

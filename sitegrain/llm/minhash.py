@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.llm.arrays import mix64, slices
+from sitegrain.llm.bits import bit_table, known
 from sitegrain.llm.blocks import by_cell, deal, forest, linked_sets
 from sitegrain.llm.common import text_key
 from sitegrain.llm.components import components
@@ -97,14 +98,17 @@ def _sign(k: int) -> Callable:
     return run
 
 
-def _sets(k: int) -> Callable:
+def _sets(k: int, wanted) -> Callable:
+    """Sets of the rows that the table of ``wanted`` hashes lets through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.take(pa.array(np.flatnonzero(known(wanted.value, batch["g"].to_numpy().view(np.uint64)))))
             for lo, hi in slices(batch["text"]):
                 part = batch.slice(lo, hi - lo)
                 token, first = shingles(part["text"], k)
                 sets = pa.array([token[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part["c"], part["root"], part["blocks"], sets], ["c", "root", "blocks", "tokens"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["_k"], sets], ["doc_id", "_k", "tokens"])
 
     return run
 
@@ -147,10 +151,12 @@ def links(docs: DataFrame, one: DataFrame, family: DataFrame, stage: Staging, k:
     sized = family.join(one.select("c", "n", "doc"), "c")
     total = sized.groupBy("root").agg(F.sum("n").alias("total"))
     left = stage.write(sized.join(total, "root").select("c", "root", _in_chunks("total", BLOCK_SHINGLES).alias("blocks"), "doc.doc_id", "doc._k"), "left")
-    texts = docs.select("doc_id", "text", text_key("text").alias("_k")).alias("d").join(
-        left.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d._k") == F.col("l._k"))
-    )
-    sets = texts.select("c", "root", "blocks", "text").mapInArrow(_sets(k), "c long, root long, blocks long, tokens binary")
+    # Texts stay where they are; only the sets of rows that stand for a set of a family are moved.
+    g = F.xxhash64("doc_id", "_k").alias("g")
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_table(left.select(g)))
+    keyed = docs.where("text IS NOT NULL").select("doc_id", "text", text_key("text").alias("_k")).select("*", g)
+    found = keyed.mapInArrow(_sets(k, wanted), f"doc_id {dict(docs.dtypes)['doc_id']}, _k binary, tokens binary").alias("d")
+    sets = found.join(left.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d._k") == F.col("l._k"))).select("c", "root", "blocks", "tokens")
     # Rows that repeat an id and a text are one.
     distinct = sets.groupBy("c", "root", "blocks").agg(F.first("tokens").alias("tokens"))
     return by_cell(deal(distinct, "root", "c", F.col("blocks")), linked_sets(similar), ["c", "tokens"])
