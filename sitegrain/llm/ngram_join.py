@@ -4,9 +4,13 @@ The incidence matrix has a row per distinct document and a column per n-gram. Co
 split into blocks by hash. First pass: each block counts its columns, and a document whose
 shared n-grams, added up over blocks, are below its size-derived bound has no partner. The
 few rows that are left are ordered by frequency; a pair must meet in the rare part of both
-and fit the bounds on sizes and positions. Second pass: overlaps of the pairs left are
-accumulated block by block. Pairs inside a component already found are never made: documents
-first meet one centre per n-gram, and only different components meet afterwards.
+and fit the bounds on sizes and positions.
+
+Second pass: each row goes to the most central document that it meets, and the rows that
+went to one place are multiplied with each other, block by block: overlaps are accumulated
+over blocks of columns, and pairs below their bound discarded. Rows of different components
+that still meet are grouped where sketches of their columns leave room for a link, and the
+groups are multiplied in the same way. Blocks return spanning forests, never lists of pairs.
 """
 
 from __future__ import annotations
@@ -19,16 +23,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.llm.arrays import NOT_SPACE, Words, grams, grams_inside, mix64, slices
+from sitegrain.llm.bits import bit_table, known
+from sitegrain.llm.blocks import by_cell, deal, forest, linked_sets
 from sitegrain.llm.common import text_key
 from sitegrain.llm.components import components
 from sitegrain.plans.staging import Staging
 
 #: Words of a shingle, and the similarity in hundredths.
 SHINGLE, SIMILAR = 5, 75
-#: Column blocks of the second pass.
-BLOCKS = 2
-#: Centres per shingle in each round, before all documents that are still apart meet.
-CENTRES = (1, 8, 32)
+#: Incidences of a column block of the first pass.
+BLOCK_COLUMNS = 1 << 21
+#: Members of a block that share a shingle, and shingles of a block of a group.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 18
+#: Bits of a sketch.
+SKETCH_BITS = 2048
 
 
 def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,19 +155,32 @@ def _add_up(table: pa.Table) -> pa.Table:
     return pa.table({"c": c, "shared": np.bincount(of, shared, len(c)).astype(np.int64)})
 
 
-def _rows(k: int) -> Callable:
-    """Shingles of documents that may have a partner, in column blocks."""
+def _rows(k: int, wanted) -> Callable:
+    """Shingles and sketches of the rows that the table of ``wanted`` hashes lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.take(pa.array(np.flatnonzero(known(wanted.value, batch["g"].to_numpy().view(np.uint64)))))
             for lo, hi in slices(batch["text"]):
                 part = batch.slice(lo, hi - lo)
                 token, first = shingles(part["text"], k)
-                yield pa.RecordBatch.from_arrays([part["c"], part["n"], pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(token.view(np.int64)))], ["c", "n", "tokens"])
+                sets = [token[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], part["_k"], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([sketch(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(token.view(np.int64)))],
+                    ["doc_id", "_k", "tokens", "sketch", "columns"],
+                )
 
     return run
 
 
+def sketch(token: np.ndarray) -> bytes:
+    """Which of ``SKETCH_BITS`` slots hold a shingle. A slot that one set has and another lacks is at
+    least one shingle that they do not share."""
+    bits = np.zeros(SKETCH_BITS, np.uint8)
+    bits[((token * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % SKETCH_BITS] = 1
+    return np.packbits(bits).tobytes()
+
+
 def least_overlap(n: Column, similar: int) -> Column:
     """Fewest shared shingles of a set of ``n`` that has a partner: ceil(n * similar / 100)."""
     return F.floor((n * similar + 99) / 100).cast("long")
@@ -174,27 +195,41 @@ def _pair_overlap(a: Column, b: Column, similar: int) -> Column:
     return F.ceil((a + b) * similar / F.lit(float(100 + similar)) - 1e-9)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, similar: int) -> DataFrame:
-    """Linked pairs among ``a, b``: overlaps accumulated over column blocks, then the exact test."""
-    left = rows.select(F.col("c").alias("a"), F.col("n").alias("na"), F.explode("blocks").alias("x"))
-    right = rows.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.explode("blocks").alias("y"))
-    block = lambda x: F.col(f"{x}.block")
-    return (
-        pairs.join(left, "a")
-        .withColumn("block", block("x"))
-        .join(right.withColumn("block", block("y")), ["b", "block"])
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.sum(F.size(F.array_intersect("x.tokens", "y.tokens"))).alias("both"))
-        .where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * similar)
-        .select("a", "b")
-    )
+def _may_link(similar: int) -> Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]:
+    """Spanning forest of the rows of different components that meet in a shingle and may share enough:
+    by size, by how many shingles stand from this one on, and by their sketches."""
+
+    def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        n, root, room = (t[x].to_numpy() for x in ("n", "root", "room"))
+        bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(len(n), -1)
+
+        def near(i: int, o: np.ndarray) -> np.ndarray:
+            need = -(-similar * (n[i] + n[o]) // (100 + similar))
+            ok = (root[o] != root[i]) & (100 * np.minimum(n[o], n[i]) >= similar * np.maximum(n[o], n[i])) & (np.minimum(room[o], room[i]) >= need)
+            at = np.flatnonzero(ok)
+            both = np.bitwise_count(bits[o[at]] & bits[i]).sum(1, dtype=np.int64)
+            size = np.bitwise_count(bits[o[at]]).sum(1, dtype=np.int64)
+            # Slots of one that the other lacks.
+            ok[at] = np.minimum(n[i] - (np.bitwise_count(bits[i]).sum(dtype=np.int64) - both), n[o[at]] - (size - both)) >= need[at]
+            return ok
+
+        return forest(len(n), near)
+
+    return compare
+
+
+def _links_inside(groups: DataFrame, rows: DataFrame, similar: int) -> DataFrame:
+    """``a, b``: links that connect what is linked inside each group (``c, root``), by exact products."""
+    sized = groups.join(rows.select("c", "n"), "c")
+    blocks = F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES))).cast("long").alias("blocks")
+    placed = groups.join(sized.groupBy("root").agg(blocks), "root").join(rows.select("c", "tokens"), "c")
+    return by_cell(deal(placed, "root", "c", F.col("blocks")), linked_sets(similar), ["c", "tokens"])
 
 
 def candidates(docs: DataFrame, sets: DataFrame, stage: Staging, k: int, similar: int, block_columns: int) -> DataFrame:
     """``c, n, blocks``, one row per distinct set that may have a partner: its shingles by column block."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # As a document has about a word in six bytes, blocks hold about ``block_columns`` incidences.
-    bits = max(0, int(np.ceil(np.log2(max(1.0, total / 6 / block_columns)))))
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    bits = max(0, int(np.ceil(np.log2(max(1.0, total / block_columns)))))
     shared = (
         docs.select("text")
         .where("text IS NOT NULL")
@@ -208,26 +243,29 @@ def candidates(docs: DataFrame, sets: DataFrame, stage: Staging, k: int, similar
     left = stage.write(
         one.join(shared, "c").where(F.col("shared") >= least_overlap(F.col("n"), similar)).select("c", "n", "doc.doc_id", "doc._k"), "left"
     )
-    texts = docs.select("doc_id", "text", text_key("text").alias("_k")).alias("d").join(
-        left.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d._k") == F.col("l._k"))
-    )
+    # Texts stay where they are; only rows that stand for a set that may have a partner are moved.
+    g = F.xxhash64("doc_id", "_k").alias("g")
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_table(left.select(g)))
+    keyed = docs.where("text IS NOT NULL").select("doc_id", "text", text_key("text").alias("_k")).select("*", g)
+    found = keyed.mapInArrow(_rows(k, wanted), f"doc_id {dict(docs.dtypes)['doc_id']}, _k binary, tokens binary, sketch binary, columns array<long>").alias("d")
+    both = found.join(left.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d._k") == F.col("l._k")))
     # Rows that repeat an id and a text are one.
-    distinct = texts.select("c", "n", "text").mapInArrow(_rows(k), "c long, n long, tokens array<long>").groupBy("c", "n").agg(F.first("tokens").alias("tokens"))
-    in_block = lambda b: F.filter("tokens", lambda t: F.pmod(t, F.lit(BLOCKS)) == b)
-    return distinct.select("c", "n", F.array(*[F.struct(F.lit(b).alias("block"), in_block(b).alias("tokens")) for b in range(BLOCKS)]).alias("blocks"))
+    one_of = F.first(F.struct("tokens", "sketch", "columns")).alias("x")
+    return both.select("c", "n", "tokens", "sketch", "columns").groupBy("c", "n").agg(one_of).select("c", "n", "x.*")
 
 
 def _postings(rows: DataFrame, stage: Staging, similar: int) -> DataFrame:
-    """Rare parts: ``token, c, n, room`` where ``room`` is how many shared shingles stand from this one on."""
-    cells = rows.select("c", "n", F.explode(F.flatten("blocks.tokens")).alias("token"))
+    """Rare parts: ``token, c, n, room, mean`` where ``room`` is how many shared shingles stand from this
+    one on, and ``mean`` is how many sets have a shingle of this one, on average."""
+    cells = rows.select("c", "n", F.explode("columns").alias("token"))
     often = cells.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ordered = cells.join(often, "token").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    ordered = cells.join(often, "token").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"), F.avg("df").alias("mean"))
     m, need = F.size("t"), least_overlap(F.col("n"), similar)
-    rare = ordered.where(m >= need).select("c", "n", m.alias("m"), F.posexplode(F.slice("t", F.lit(1), (m - need + 1).cast("int"))).alias("i", "x"))
-    return stage.write(rare.select("x.token", "c", "n", (F.col("m") - F.col("i")).cast("long").alias("room")), "postings")
+    rare = ordered.where(m >= need).select("c", "n", "mean", m.alias("m"), F.posexplode(F.slice("t", F.lit(1), (m - need + 1).cast("int"))).alias("i", "x"))
+    return stage.write(rare.select("x.token", "c", "n", (F.col("m") - F.col("i")).cast("long").alias("room"), "mean"), "postings")
 
 
-def link_components(docs: DataFrame, stage: Staging, k: int = SHINGLE, similar: int = SIMILAR, block_columns: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
+def link_components(docs: DataFrame, stage: Staging, k: int = SHINGLE, similar: int = SIMILAR, block_columns: int = BLOCK_COLUMNS) -> tuple[DataFrame, DataFrame]:
     """Sets of all rows of ``docs`` (``doc_id, _k, n_shingles, c``) and ``node, root`` of linked sets."""
     id_type = dict(docs.dtypes)["doc_id"]
     sets = stage.write(
@@ -235,65 +273,26 @@ def link_components(docs: DataFrame, stage: Staging, k: int = SHINGLE, similar:
     )
     rows = stage.write(candidates(docs, sets, stage, k, similar, block_columns), "rows")
     postings = _postings(rows, stage, similar)
-    links = stage.write(postings.select(F.col("c").alias("a"), F.col("c").alias("b")).where("false"), "links0")
-    tried, roots, r = links, None, 0
-
-    def with_roots():
-        return postings.withColumn("root", F.col("c")) if roots is None else postings.join(roots, postings.c == roots.node, "left").select(*postings.columns, F.coalesce("root", "c").alias("root"))
-
-    while r < len(CENTRES):
-        # Each document of another component meets centres of its rare shingles: the smallest document of each
-        # shingle at first, then some drawn at random.
-        r += 1
-        now = with_roots()
-        if roots is not None:
-            # Components only grow, so a shingle inside one component is done with.
-            split = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-            now = stage.write(now.join(split, "token", "left_semi"), f"split{r}")
-            postings = now.drop("root")
-        orders = [F.col("n")] if r == 1 else [F.xxhash64(F.lit(100 * r + i), "c") for i in range(CENTRES[r - 1])]
-        marks = [F.min(F.struct(o.alias("h"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b"), F.col("room").alias("room_b"))) for o in orders]
-        centres = now.groupBy("token").agg(F.array_distinct(F.transform(F.array(*marks), lambda m: m.dropFields("h"))).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        fit = _sizes_fit(F.col("n"), F.col("m.nb"), similar) & (F.least("room", "m.room_b") >= _pair_overlap(F.col("n"), F.col("m.nb"), similar))
-        meets = now.join(centres, "token").select("c", "n", "root", "room", F.explode("m").alias("m")).where((F.col("root") != F.col("m.root_b")) & fit)
-        shares = meets.groupBy("c", F.col("m.b").alias("b")).agg(F.count(F.lit(1)).alias("s")).select("c", "s", F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b"))
-        best = shares.join(tried, ["a", "b"], "left_anti").groupBy("c").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "a", "b")), asc=False), 1, len(orders)).alias("x"))
-        pairs = stage.write(best.select(F.explode("x").alias("x")).select("x.a", "x.b").distinct(), f"pairs{r}")
-        if pairs.isEmpty():
-            break
-        found = stage.write(verified(pairs, rows, similar), f"found{r}")
-        tried = stage.write(tried.unionByName(pairs), f"tried{r}")
-        if found.isEmpty():
-            break
-        links = stage.write(links.unionByName(found), f"links{r}")
-        roots = stage.write(components(links, stage, f"roots{r}"), f"roots{r}")
-    # What is left: documents of different components that meet in a rare shingle.
-    now = stage.write(with_roots(), "now")
-    heads = now.groupBy("token", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"))
-    split = heads.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    heads = heads.join(split, "token")
-    # Two components meet in a shingle only if some of their documents may fit there.
-    names = ("root", "lo", "hi", "room")
-    one, two = (heads.select("token", *[F.col(x).alias(f"{x}_{side}") for x in names]) for side in "ab")
-    may_fit = (
-        (F.col("root_a") < F.col("root_b"))
-        & (F.col("hi_a") * 100 >= F.col("lo_b") * similar)
-        & (F.col("hi_b") * 100 >= F.col("lo_a") * similar)
-        & (F.least("room_a", "room_b") >= _pair_overlap(F.col("lo_a"), F.col("lo_b"), similar))
-    )
-    apart = one.join(two, "token").where(may_fit).select("token", F.col("root_a").alias("ra"), F.col("root_b").alias("rb"))
-    a = now.select("token", F.col("root").alias("ra"), F.col("c").alias("a"), F.col("n").alias("na"), F.col("room").alias("xa"))
-    b = now.select("token", F.col("root").alias("rb"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("room").alias("xb"))
-    fit = _sizes_fit(F.col("na"), F.col("nb"), similar) & (F.least("xa", "xb") >= _pair_overlap(F.col("na"), F.col("nb"), similar))
-    apart = stage.write(apart, "apart")
-    rest = apart.join(a, ["token", "ra"]).join(b, ["token", "rb"]).where(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = stage.write(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    found = stage.write(verified(rest, rows, similar), "found-rest")
-    if not found.isEmpty():
-        links = stage.write(links.unionByName(found), "links-all")
-        roots = None
-    if roots is None:
-        roots = stage.write(components(links, stage, "roots-all"), "roots-all")
+    # The most central row of each shingle, and of those that a row meets, the one it meets most often.
+    centres = postings.groupBy("token").agg(F.max(F.struct("mean", "c", "n", "room")).alias("m"))
+    fit = _sizes_fit(F.col("n"), F.col("m.n"), similar) & (F.least("room", "m.room") >= _pair_overlap(F.col("n"), F.col("m.n"), similar))
+    meets = postings.join(centres, "token").where((F.col("c") != F.col("m.c")) & fit).groupBy("c", F.col("m.c").alias("root")).agg(F.count(F.lit(1)).alias("s"))
+    best = stage.write(meets.groupBy("c").agg(F.max(F.struct("s", "root")).alias("x")).select("c", "x.root"), "best")
+    places = best.unionByName(best.select(F.col("root").alias("c"), "root").distinct())
+    links = stage.write(_links_inside(places, rows, similar), "links1")
+    roots = stage.write(components(links, stage, "roots1"), "roots1")
+    # Shingles in which different components still meet.
+    now = postings.drop("mean").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    now = stage.write(now, "now")
+    split = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("token", "size")
+    apart = now.join(split, "token").join(rows.select("c", "sketch"), "c")
+    n_blocks = F.ceil(F.col("size") / F.lit(float(BLOCK_MEMBERS))).cast("long")
+    near = by_cell(deal(apart, "token", "c", n_blocks), _may_link(similar), ["c", "n", "root", "room", "sketch"])
+    groups = components(near, stage, "groups")
+    members = stage.write(groups.select(F.col("node").alias("c"), "root").unionByName(groups.select(F.col("root").alias("c"), "root").distinct()), "members")
+    more = stage.write(_links_inside(members, rows, similar), "links2")
+    if not more.isEmpty():
+        roots = stage.write(components(links.unionByName(more), stage, "roots2"), "roots2")
     return sets, roots
 
 
@@ -328,11 +327,14 @@ def keep_one(docs: DataFrame, stage: Staging, k: int = SHINGLE, similar: int = S
     gone = stage.write(
         rows.join(several, "root")
         .groupBy("doc_id", "_k")
-        .agg(F.max(F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_k") == F.col("_first_k"))).alias("_stays")),
+        .agg(F.max(F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_k") == F.col("_first_k"))).alias("stays"))
+        .select(F.struct(F.col("doc_id").alias("id"), F.col("_k").alias("key"), "stays").alias("gone")),
         "gone",
-    ).select(F.col("doc_id").alias("_id"), F.col("_k").alias("_kk"), "_stays")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.withColumn("_k", text_key("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_kk")), "left")
-    single = joined.where("_stays IS NULL").select(*names)
-    firsts = joined.where("_stays").dropDuplicates(["doc_id", "_k"]).select(*names)
+    )
+    # The caller's row is one struct, so its columns may have any names.
+    x = F.col("gone")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = row.join(gone, F.col("row.doc_id").eqNullSafe(x["id"]) & (text_key(F.col("row.text")) == x["key"]), "left")
+    single = joined.where(x.isNull()).select("row.*")
+    firsts = joined.where(x["stays"]).dropDuplicates(["gone"]).select("row.*")
     return single.unionByName(firsts)

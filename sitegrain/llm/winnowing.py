@@ -186,7 +186,9 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, stage: Staging,
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, stage: Staging, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Rows of ``docs`` without a window of an item, all columns kept."""
+    """Rows of ``docs`` without a window of an item, all columns kept, whatever their names. Null texts, and of
+    repeated rows all or none, stay."""
     rows, hits, _ = find_windows(docs, benchmark, stage, window, gram)
     bad = stage.write(rows.join(hits.select("_row").distinct(), "_row", "left_semi").select("_k").distinct(), "bad")
-    return docs.withColumn("_k", text_key("text")).join(bad, "_k", "left_anti").drop("_k")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return row.join(bad, text_key(F.col("row.text")) == F.col("_k"), "left_anti").select("row.*")

@@ -12,6 +12,7 @@ import pytest
 
 from sitegrain.llm import chat, language_model, mixing, ngram_join, outliers, surrogates, url_words
 from sitegrain.llm.queries import QUERIES
+from sitegrain.plans.staging import Staging
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -131,6 +132,45 @@ def test_near_copies_in_a_large_group(docs, stage):
     assert kept == set(components_of(texts).values())
 
 
+def test_one_common_passage_and_no_link(spark, docs, stage):
+    """60 fixed words of 100: what stays to be compared grows with the documents, not with their pairs."""
+    rng, sizes = random.Random(8), []
+    fixed = " ".join(f"f{i}" for i in range(60))
+    for m in (100, 200, 400):
+        texts = {i: fixed + " " + " ".join(rng.choice("abcdefghij") + str(rng.randrange(4)) for _ in range(40)) for i in range(m)}
+        own = Staging(spark, f"passage{m}")
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.component_report(docs(*texts.items()), own).collect()}
+        assert got == {i: i for i in texts}
+        sizes.append(spark.read.parquet(f"{own.path}/members").count())
+        own.release()
+    assert sizes[2] <= 8 * max(sizes[0], 10)
+
+
+def test_blocks_of_columns_and_groups(docs, stage, monkeypatch):
+    rng = random.Random(9)
+    texts = {}
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(80)]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(rng.randint(0, 6)):
+                w[rng.randrange(80)] = f"n{rng.randrange(20)}"
+            texts[len(texts)] = " ".join(w)
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 500)
+    sets, roots = ngram_join.link_components(docs(*texts.items()), stage, block_columns=1 << 9)
+    least = {}
+    for r in sets.join(roots.withColumnRenamed("node", "c"), "c", "left").collect():
+        least.setdefault(r["root"] or r["c"], []).append(r["doc_id"])
+    assert {i: min(ids) for ids in least.values() for i in ids} == components_of(texts)
+
+
+def test_keep_one_keeps_every_column(docs, stage):
+    d = docs((1, "a b c d e f", "en", "s"), (2, "a b c d e f", "en", "s"), (3, None, "en", "s")).selectExpr("*", "7 _k", "8 row", "9 gone", "map('a', doc_id) m")
+    out = ngram_join.keep_one(d, stage)
+    assert out.dtypes == d.dtypes and sorted((r["doc_id"], r["_k"], r["row"], r["gone"], r["m"]["a"]) for r in out.collect()) == [(1, 7, 8, 9, 1), (3, 7, 8, 9, 3)]
+
+
 def test_language_model(spark, sf_dir, documents):
     got = {r["doc_id"]: r for r in QUERIES["op10_language_model"](spark, sf_dir).collect()}
     tokens = {d.doc_id: [*words((d.text or "").translate(UPPER)), None] for d in documents.itertuples()}
