@@ -16,6 +16,7 @@ from sitegrain.plans.staging import Staging
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source; repeated rows all or none."""
     return outliers.keep_good(docs, Staging(spark, "quality"))
 
 
@@ -26,10 +27,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near duplicates, the least ``doc_id``; rows without a word stay."""
     return ngram_join.keep_one(docs, Staging(spark, "near"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item; null and empty texts stay."""
     return winnowing.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), Staging(spark, "benchmark"))
 
 
