@@ -16,8 +16,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Bytes with A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of words between white space.
@@ -77,7 +78,7 @@ class Words:
 
     def __init__(self, texts: pa.Array, kind: np.ndarray):
         raw, starts = text_bytes(texts)
-        self.data = _LOWER[raw]
+        self.data = LOWER[raw]
         inside = kind[raw]
         edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
         self.start, self.end = edge[::2], edge[1::2]

@@ -9,7 +9,7 @@ the parse, and phrases are counted in the dictionary alone, weighted by that.
 
 Phrases are counted level by level. Those of ``k`` words are looked for only where both parts of
 ``k - 1`` words are frequent, as a bit table of hashes tells; the table may let others pass, and
-phrases are counted by their words in the end.
+phrases are told by their words in the end (inside a task by 64-bit hashes of them).
 """
 
 from __future__ import annotations
@@ -23,13 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sitegrain.llm.arrays import Words, grams, grams_inside, mix64, slices, text_bytes
+from sitegrain.llm.arrays import LOWER, Words, grams, grams_inside, mix64, slices, text_bytes
 from sitegrain.llm.bits import bit_table, known
-from sitegrain.llm.common import lower_ascii
 from sitegrain.plans.staging import Staging
 
 LONGEST, FREQUENT, TOP = 5, 100, 2000
-TRIGGER = 8
+TRIGGER = 16
+#: Hashes that a task holds before it hands its counts on.
+HELD = 1 << 20
 #: Characters that end a piece, and those between words.
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 BLANKS = " \t"
@@ -47,7 +48,7 @@ def _spread(lengths: np.ndarray) -> np.ndarray:
 
 
 def parse(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Chunks of all texts (already lower-cased): text of each, chunk (words with one blank between), and how many
+    """Chunks of all texts, lower-cased: text of each, chunk (words with one blank between), and how many
     of its words start phrases of its own."""
     raw, starts = text_bytes(texts)
     inside = _WORD[raw] & ~_BREAK[raw]
@@ -58,7 +59,7 @@ def parse(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     # Words with one blank after each.
     keep = inside.copy()
     keep[end] = True
-    norm = np.where(inside, raw, np.uint8(32))[keep]
+    norm = np.where(inside, LOWER[raw], np.uint8(32))[keep]
     at = np.concatenate(([0], np.cumsum(end - start + 1)))
     word = Words(pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, len(norm)], np.int32)), pa.py_buffer(norm)), _WORD).hash
     text = np.searchsorted(starts, start, "right") - 1
@@ -90,7 +91,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dictionary(docs: DataFrame) -> DataFrame:
     """``lang, chunk, own, freq`` of the distinct chunks of ``docs`` (``lang``, ``text``); null counts as ``und`` and as empty."""
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), lower_ascii(F.col("text")).alias("text")).where("text IS NOT NULL")
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
     return rows.mapInArrow(_chunks, "lang string, chunk string, own int, freq long").groupBy("lang", "chunk", "own").agg(F.sum("freq").alias("freq"))
 
 
@@ -129,42 +130,89 @@ def _candidates(level: _Level, k: int, shared: list) -> tuple[np.ndarray, np.nda
     return at, h[at]
 
 
+class _Counts:
+    """Hashes and their counts of a task, added up over batches in bounded memory."""
+
+    def __init__(self):
+        self.g, self.n, self.held = [], [], 0
+
+    def add(self, h: np.ndarray, weight: np.ndarray) -> None:
+        g, of = np.unique(h, return_inverse=True)
+        n = np.zeros(len(g), np.int64)
+        np.add.at(n, of, weight)
+        self.g.append(g)
+        self.n.append(n)
+        self.held += len(g)
+        if self.held > 2 * HELD:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        g, n = np.concatenate(self.g), np.concatenate(self.n)
+        order = np.argsort(g, kind="stable")
+        g, n = g[order], n[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(g)), bool), g[1:] != g[:-1])))
+        self.g, self.n = [g[first]], [np.add.reduceat(n, first) if len(first) else n]
+        self.held = len(first)
+        return self.g[0], self.n[0]
+
+    def full(self) -> bool:
+        return self.held > HELD
+
+
 def _count(k: int, shared: list) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _Counts()
         for batch in batches:
             for lo, hi in slices(batch["chunk"]):
                 level = _Level(batch.slice(lo, hi - lo))
                 at, h = _candidates(level, k, shared)
-                g, of = np.unique(h, return_inverse=True)
-                n = np.zeros(len(g), np.int64)
-                np.add.at(n, of, level.weight[at])
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["g", "n"])
+                counts.add(h, level.weight[at])
+                if counts.full():
+                    g, n = counts.merge()
+                    if counts.full():
+                        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["g", "n"])
+                        counts = _Counts()
+        if counts.held:
+            g, n = counts.merge()
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["g", "n"])
 
     return run
 
 
 def _phrases(levels: int, shared: list) -> Callable:
-    """Phrases of all levels that may be frequent, with their words, counted per batch."""
+    """Phrases of all levels that may be frequent, with their words and how often the task met them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen, langs, phrases, sizes = _Counts(), {}, [], [], []
+
+        def out() -> pa.RecordBatch:
+            g, n = counts.merge()
+            at = pa.array([seen[x] for x in g.tolist()], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(at), pa.array(phrases, pa.string()).take(at), pa.array(sizes, pa.int32()).take(at), pa.array(n)], ["lang", "phrase", "k", "f"])
+
         for batch in batches:
             for lo, hi in slices(batch["chunk"]):
                 part = batch.slice(lo, hi - lo)
                 level = _Level(part)
-                w = level.words
+                w, lang = level.words, part["lang"].to_pylist()
                 row = w.text_of_word()
                 for k in range(1, levels + 1):
                     at, h = _candidates(level, k, shared)
                     may = known(shared[k - 1].value, h)
                     at, h = at[may], h[may]
-                    g, where, of = np.unique(h, return_index=True, return_inverse=True)
-                    n = np.zeros(len(g), np.int64)
-                    np.add.at(n, of, level.weight[at])
-                    begin = at[where]
-                    phrases = [w.data[s:e].tobytes().decode() for s, e in zip(w.start[begin].tolist(), w.end[begin + k - 1].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [part["lang"].take(pa.array(row[begin])), pa.array(phrases, pa.string()), pa.array(np.full(len(g), k, np.int32)), pa.array(n)], ["lang", "phrase", "k", "f"]
-                    )
+                    counts.add(h, level.weight[at])
+                    g, where = np.unique(h, return_index=True)
+                    for x, i in zip(g.tolist(), at[where].tolist(), strict=True):
+                        if x not in seen:
+                            seen[x] = len(phrases)
+                            langs.append(lang[row[i]])
+                            phrases.append(w.data[w.start[i] : w.end[i + k - 1]].tobytes().decode())
+                            sizes.append(k)
+            if len(phrases) > HELD // 4:
+                yield out()
+                counts, seen, langs, phrases, sizes = _Counts(), {}, [], [], []
+        if phrases:
+            yield out()
 
     return run
 
