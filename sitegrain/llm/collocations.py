@@ -9,13 +9,14 @@ the parse, and phrases are counted in the dictionary alone, weighted by that.
 
 Phrases are counted level by level. Those of ``k`` words are looked for only where both parts of
 ``k - 1`` words are frequent, as a bit table of hashes tells; the table may let others pass, and
-phrases are told by their words in the end (inside a task by 64-bit hashes of them).
+each phrase is told by a 64-bit hash of language and words until one of its chunks gives its words.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +111,9 @@ class _Level:
         row = self.words.text_of_word()
         self.salt = salt[names.indices.to_numpy()][row] if len(row) else np.zeros(0, np.uint64)
         self.weight = part["freq"].to_numpy()[row]
+        # A number for each chunk, by its words, language and own places.
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(self.words.hash + np.arange(len(row), dtype=np.uint64) - first[row].astype(np.uint64)))))
+        self.chunk = mix64((sums[first[1:]] - sums[first[:-1]])[row] ^ self.salt ^ own[row].astype(np.uint64))
         self.mine = np.arange(len(row)) - first[row] < own[row]
 
     def places(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,29 +135,32 @@ def _candidates(level: _Level, k: int, shared: list) -> tuple[np.ndarray, np.nda
 
 
 class _Counts:
-    """Hashes and their counts of a task, added up over batches in bounded memory."""
+    """Hashes of a task, how often each occurs, and a chunk that has it; added up over batches in bounded memory."""
 
     def __init__(self):
-        self.g, self.n, self.held = [], [], 0
+        self.g, self.n, self.at, self.held = [], [], [], 0
 
-    def add(self, h: np.ndarray, weight: np.ndarray) -> None:
-        g, of = np.unique(h, return_inverse=True)
+    def add(self, h: np.ndarray, weight: np.ndarray, chunk: np.ndarray) -> None:
+        g, where, of = np.unique(h, return_index=True, return_inverse=True)
         n = np.zeros(len(g), np.int64)
         np.add.at(n, of, weight)
         self.g.append(g)
         self.n.append(n)
+        self.at.append(chunk[where])
         self.held += len(g)
         if self.held > 2 * HELD:
             self.merge()
 
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        g, n = np.concatenate(self.g), np.concatenate(self.n)
+    def merge(self) -> None:
+        g, n, at = np.concatenate(self.g), np.concatenate(self.n), np.concatenate(self.at)
         order = np.argsort(g, kind="stable")
-        g, n = g[order], n[order]
+        g, n, at = g[order], n[order], at[order]
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(g)), bool), g[1:] != g[:-1])))
-        self.g, self.n = [g[first]], [np.add.reduceat(n, first) if len(first) else n]
+        self.g, self.n, self.at = [g[first]], [np.add.reduceat(n, first) if len(first) else n], [at[first]]
         self.held = len(first)
-        return self.g[0], self.n[0]
+
+    def out(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.g[0].view(np.int64)), pa.array(self.n[0]), pa.array(self.at[0].view(np.int64))], ["g", "n", "at"])
 
     def full(self) -> bool:
         return self.held > HELD
@@ -166,69 +173,65 @@ def _count(k: int, shared: list) -> Callable:
             for lo, hi in slices(batch["chunk"]):
                 level = _Level(batch.slice(lo, hi - lo))
                 at, h = _candidates(level, k, shared)
-                counts.add(h, level.weight[at])
+                counts.add(h, level.weight[at], level.chunk[at])
                 if counts.full():
-                    g, n = counts.merge()
+                    counts.merge()
                     if counts.full():
-                        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["g", "n"])
+                        yield counts.out()
                         counts = _Counts()
         if counts.held:
-            g, n = counts.merge()
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["g", "n"])
+            counts.merge()
+            yield counts.out()
 
     return run
 
 
-def _phrases(levels: int, shared: list) -> Callable:
-    """Phrases of all levels that may be frequent, with their words and how often the task met them."""
+def _phrases(levels: int, shared: list, places) -> Callable:
+    """Words of phrases, each where the table of ``places`` (hash and chunk) has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen, langs, phrases, sizes = _Counts(), {}, [], [], []
-
-        def out() -> pa.RecordBatch:
-            g, n = counts.merge()
-            at = pa.array([seen[x] for x in g.tolist()], pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(at), pa.array(phrases, pa.string()).take(at), pa.array(sizes, pa.int32()).take(at), pa.array(n)], ["lang", "phrase", "k", "f"])
-
         for batch in batches:
             for lo, hi in slices(batch["chunk"]):
                 part = batch.slice(lo, hi - lo)
                 level = _Level(part)
-                w, lang = level.words, part["lang"].to_pylist()
-                row = w.text_of_word()
+                w, row = level.words, level.words.text_of_word()
                 for k in range(1, levels + 1):
                     at, h = _candidates(level, k, shared)
-                    may = known(shared[k - 1].value, h)
-                    at, h = at[may], h[may]
-                    counts.add(h, level.weight[at])
-                    g, where = np.unique(h, return_index=True)
-                    for x, i in zip(g.tolist(), at[where].tolist(), strict=True):
-                        if x not in seen:
-                            seen[x] = len(phrases)
-                            langs.append(lang[row[i]])
-                            phrases.append(w.data[w.start[i] : w.end[i + k - 1]].tobytes().decode())
-                            sizes.append(k)
-            if len(phrases) > HELD // 4:
-                yield out()
-                counts, seen, langs, phrases, sizes = _Counts(), {}, [], [], []
-        if phrases:
-            yield out()
+                    may = known(places.value, mix64(h ^ level.chunk[at]))
+                    begin, h = at[may], h[may]
+                    phrases = [w.data[s:e].tobytes().decode() for s, e in zip(w.start[begin].tolist(), w.end[begin + k - 1].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h.view(np.int64)), part["lang"].take(pa.array(row[begin])), pa.array(phrases, pa.string()), pa.array(np.full(len(h), k, np.int32))], ["g", "lang", "phrase", "k"]
+                    )
 
     return run
 
 
+def _place_table(often: DataFrame) -> np.ndarray:
+    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(mix64(b["g"].to_numpy().view(np.uint64) ^ b["at"].to_numpy().view(np.uint64)).view(np.int64))], ["g"])
+
+    return bit_table(often.select("g", "at").mapInArrow(mix, "g long"))
+
+
 def frequent_phrases(chunks: DataFrame, stage: Staging, least: int, longest: int) -> DataFrame:
     """``lang, phrase, k, f`` of every phrase of up to ``longest`` words that occurs ``least`` times or more."""
-    spark, shared = chunks.sparkSession, []
+    context, shared, levels = chunks.sparkSession.sparkContext, [], []
     for k in range(1, longest + 1):
-        counted = chunks.mapInArrow(_count(k, list(shared)), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+        counted = chunks.mapInArrow(_count(k, list(shared)), "g long, n long, at long").groupBy("g").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
         often = stage.write(counted.where(F.col("n") >= least), f"level{k}")
+        levels.append(often)
         if often.isEmpty():
             break
-        shared.append(spark.sparkContext.broadcast(bit_table(often)))
-    found = chunks.mapInArrow(_phrases(len(shared), shared), "lang string, phrase string, k int, f long")
-    out = stage.write(found.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")
-    for b in shared:
+        shared.append(context.broadcast(bit_table(often)))
+    often = reduce(DataFrame.unionByName, levels)
+    places = context.broadcast(_place_table(often))
+    found = chunks.mapInArrow(_phrases(len(shared), list(shared), places), "g long, lang string, phrase string, k int")
+    # One chunk of each phrase gives its words; few others pass the table, and agree.
+    named = found.groupBy("g").agg(F.min(F.struct("lang", "phrase", "k")).alias("x"))
+    out = stage.write(often.join(named, "g").select("x.lang", "x.phrase", "x.k", F.col("n").alias("f")), "phrases")
+    for b in (*shared, places):
         b.unpersist()
     return out
 
