@@ -378,7 +378,17 @@ ORACLES: dict[str, str] = {
     "result_batches": f"SELECT {host('url')} AS task, url, md5(html) AS body_md5 FROM pages",
     # streams
     "stream_tasks": f"SELECT kind, count(*) AS n, count(DISTINCT url) AS urls FROM {TASK_KINDS} GROUP BY kind",
-    "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_dedup": """WITH RECURSIVE a AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY ALL
+        UNION ALL SELECT a.user_id, a.event_type, min(e.ts) FROM a JOIN events e ON e.user_id = a.user_id
+          AND e.event_type = a.event_type AND e.ts >= a.ts + INTERVAL 1 DAY GROUP BY a.user_id, a.event_type)
+        SELECT user_id, event_type, ts FROM a""",
+    "stream_upsert_pages": """SELECT 't' AS task, 'http://k.example.com/' || k AS url, md5('http://k.example.com/' || k) AS filename,
+        octet_length(encode(html)) AS length, md5(html) AS body_md5
+        FROM (SELECT page_id // 3 AS k, arg_max(html, page_id) AS html FROM pages GROUP BY 1)""",
+    "stream_crawl_stats": """SELECT cast(user_id AS VARCHAR) AS task, count(*) FILTER (event_type <> 'click') AS downloads,
+        count(*) FILTER (event_type NOT IN ('click', 'error')) AS success, count(*) FILTER (event_type = 'view') AS useless
+        FROM events GROUP BY 1""",
+    "raw_pages": """SELECT page_id || '.html' AS name, octet_length(encode(html)) AS length, md5(html) AS md5 FROM pages""",
     "stream_dedup_window": "SELECT DISTINCT event_type, time_bucket(INTERVAL 10 MINUTE, ts) AS window_start FROM events",
     "stream_upsert": EVENT_LATEST,
     "stream_stats": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",

@@ -669,11 +669,12 @@ def stream_tasks(spark, d):
 
 @query
 def stream_dedup(spark, d):
+    """At most one event of each key a day."""
     folder = Staging(spark, "stream-dedup").path
     keys = ["user_id", "event_type"]
-    deduped = jobs.dedup_tasks(_stream(spark, d, "events", *keys, "ts"), keys, "ts").select(*keys)
+    deduped = jobs.dedup_tasks(_stream(spark, d, "events", *keys, "ts"), keys, "ts", 86_400)
     jobs.run_append(deduped, f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").select(*keys, F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query
@@ -694,12 +695,44 @@ def stream_upsert(spark, d):
     return jobs.read_upserted(spark, f"{folder}/out", ["user_id", "event_type"], ["ts", "event_id"])
 
 
+@query
+def stream_upsert_pages(spark, d):
+    """Pages that arrive three at a time under the name of one of them: the newest stays, with its content."""
+    folder = Staging(spark, "stream-pages").path
+    pages = _stream(spark, d, "pages").select(
+        F.lit("t").alias("task"),
+        F.concat(F.lit("http://k.example.com/"), (F.col("page_id") / 3).cast("bigint").cast("string")).alias("url"),
+        F.col("html").alias("page_text"),
+        F.timestamp_seconds("page_id").alias("update_time"),
+    )
+    jobs.run_page_upsert(pages, f"{folder}/store", f"{folder}/checkpoint")
+    stored = jobs.read_page_store(spark, f"{folder}/store")
+    return stored.contents.join(stored.results, F.col("content_id") == F.col("ref_content_id"), "full").select(
+        "task", "url", "filename", "length", F.md5("content").alias("body_md5")
+    )
+
+
 @query
 def stream_stats(spark, d):
     folder = Staging(spark, "stream-stats").path
     totals = jobs.count_by(_stream(spark, d, "events", "event_type"), "event_type")
     jobs.run_totals(totals, f"{folder}/out", f"{folder}/checkpoint")
-    return jobs.read_totals(spark, f"{folder}/out")
+    return jobs.read_totals(spark, f"{folder}/out", f"{folder}/checkpoint", totals.schema)
+
+
+@query
+def stream_crawl_stats(spark, d):
+    """Events as visits: errors failed, views blank pages."""
+    folder = Staging(spark, "stream-counters").path
+    kind = F.col("event_type")
+    visits = _stream(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("task"),
+        F.when(kind == "error", "failed").when(kind == "click", "duplicate").otherwise("success").alias("outcome"),
+        F.when(kind == "view", "blank").when(kind == "purchase", "kept").alias("page_state"),
+    )
+    counters = jobs.crawl_counters(visits, "task")
+    jobs.run_totals(counters, f"{folder}/out", f"{folder}/checkpoint", ["task"])
+    return jobs.read_totals(spark, f"{folder}/out", f"{folder}/checkpoint", counters.schema, ["task"])
 
 
 @query

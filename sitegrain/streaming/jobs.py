@@ -7,19 +7,26 @@ job picks up what is new.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from sitegrain.constants import TASK_MAX_AGE_SECONDS
+from sitegrain.operators.keyed import KeyedTables
 from sitegrain.operators.links import extract_links
 from sitegrain.operators.routing import Sink, run_sinks
 from sitegrain.operators.search import latest_per_key
+from sitegrain.operators.store import CONTENTS, RESULTS, Stored, upsert_results
+from sitegrain.plans.staging import Staging
 from sitegrain.sources.tasks import parse_tasks
 
 
@@ -64,13 +71,61 @@ def _combine(stream: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     return stream.mapInPandas(newest, stream.schema)
 
 
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+
+
+def _one_per_instant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of an Arrow batch that agree in key and time reduced to one, the least of the rest."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        same = [c for c in t.column_names if c != "_rest"]
+        firsts = t.sort_by("_rest").group_by(same, use_threads=False).aggregate([("_rest", "first")])
+        yield from firsts.rename_columns({"_rest_first": "_rest"}).select(t.column_names).combine_chunks().to_batches()
+
+
 def dedup_tasks(
     stream: DataFrame, keys: Sequence[str], time: str, max_age_seconds: int = TASK_MAX_AGE_SECONDS
 ) -> DataFrame:
-    """Tasks without repeats inside the watermark. Messages older than ``max_age_seconds``
-    behind the newest are dropped as expired. Repeats are removed at least over that
-    age; within one micro-batch, over the whole batch."""
-    return _event_time(_combine(stream, keys, time), time, max_age_seconds).dropDuplicatesWithinWatermark(list(keys))
+    """Tasks without repeats: a row is dropped if the last row of its key that was let through is
+    less than ``max_age_seconds`` before it. Messages older than that behind the newest of earlier
+    micro-batches are dropped as expired, and so are rows without a time.
+
+    The time of the last row let through is kept per key, and forgotten once no row within
+    the age can come any more. A micro-batch is walked in order of time, so rows that arrive in that
+    order give the same result however they are cut into micro-batches. Rows of one key and
+    instant are combined before the shuffle (the least of their other columns stays); further apart,
+    any of them may be the next to be let through, so none can be left out before the state is known.
+    """
+    keys, rest = list(keys), [c for c in stream.columns if c not in keys and c != time]
+    age = max_age_seconds * 1_000_000
+    packed = stream.where(F.col(time).isNotNull()).select(
+        *keys, F.col(time).cast("timestamp").alias("_time"), F.to_json(F.struct(*rest), _JSON).alias("_rest") if rest else F.lit("{}").alias("_rest")
+    )
+    timed = packed.mapInArrow(_one_per_instant, packed.schema).withWatermark("_time", f"{max_age_seconds} seconds")
+    timed = timed.withColumn("_us", F.unix_micros("_time"))
+    out = T.StructType([*(stream.schema[k] for k in keys), T.StructField("_us", T.LongType()), T.StructField("_rest", T.StringType())])
+
+    def walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat([f[["_us", "_rest"]] for f in frames]).sort_values(["_us", "_rest"])
+        last = state.get[0] if state.exists else None
+        passed = []
+        for i, us in enumerate(rows["_us"].tolist()):
+            if last is None or us - last >= age:
+                passed.append(i)
+                last = us
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + age) // 1000, state.getCurrentWatermarkMs()) + 1)
+        if passed:
+            kept = rows.iloc[passed].reset_index(drop=True)
+            yield pd.concat([pd.DataFrame({k: pd.Series([v] * len(kept), dtype=object) for k, v in zip(keys, key, strict=True)}), kept], axis=1)
+
+    walked = timed.groupBy(*keys).applyInPandasWithState(walk, out, "last long", "append", "EventTimeTimeout")
+    of_rest = F.from_json("_rest", T.StructType([stream.schema[c] for c in rest]), _JSON) if rest else None
+    columns = {time: F.timestamp_micros("_us"), **{k: F.col(f"`{k}`") for k in keys}, **{c: of_rest[c] for c in rest}}
+    return walked.select(*[columns[c].alias(c) for c in stream.columns])
 
 
 def dedup_tasks_per_window(
@@ -115,6 +170,49 @@ def run_upsert(stream: DataFrame, path: str, checkpoint: str) -> None:
     _finish(stream.writeStream.foreachBatch(save), checkpoint)
 
 
+def page_store(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTables:
+    """Results and contents by ``task, url``, as ``run_page_upsert`` keeps them. Contents carry their key."""
+    contents = T.StructType([*RESULTS.fields[:2], *CONTENTS.fields])
+    return KeyedTables(spark, path, ["task", "url"], {"results": RESULTS, "contents": contents}, buckets)
+
+
+def run_page_upsert(pages: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> None:
+    """Run a stream of ``task, url, page_text, update_time`` into a page store.
+
+    Each micro-batch replaces result and content of its pages, the newest row per ``task, url`` winning.
+    Only buckets with one of these pages are read and written. Both tables change at once,
+    and a batch that is replayed changes nothing.
+    """
+    spark = pages.sparkSession
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        staging = Staging(spark, "page-upsert")
+
+        def change(now: dict[str, DataFrame], arrived: DataFrame) -> dict[str, DataFrame]:
+            after = upsert_results(now["results"], now["contents"].drop("task", "url"), arrived, staging)
+            owner = after.results.select("task", "url", F.col("ref_content_id").alias("content_id"))
+            return {"results": after.results, "contents": after.contents.join(owner, "content_id")}
+
+        try:
+            page_store(spark, path, buckets).apply(batch, change, _query_id(spark, checkpoint), batch_id)
+        finally:
+            staging.release()
+
+    _finish(pages.writeStream.foreachBatch(save), checkpoint)
+
+
+def read_page_store(spark: SparkSession, path: str, buckets: int = 64) -> Stored:
+    """Current results and contents."""
+    store = page_store(spark, path, buckets)
+    manifest = store.manifest()
+    return Stored(store.read("results", manifest=manifest), store.read("contents", manifest=manifest).drop("task", "url"))
+
+
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the query that owns a checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+
+
 def read_upserted(spark: SparkSession, path: str, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """The newest row per key of a change table."""
     return latest_per_key(spark.read.parquet(path).drop("batch"), keys, order_by)
@@ -139,21 +237,43 @@ def count_by(stream: DataFrame, *keys: str) -> DataFrame:
     return stream.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def run_totals(totals: DataFrame, path: str, checkpoint: str) -> None:
-    """Run an aggregating stream; each micro-batch stores the totals so far in its own
-    folder, so a reader never meets a half-written one."""
+def crawl_counters(visits: DataFrame, *keys: str) -> DataFrame:
+    """Running counters per task (``keys``) of a stream of visits: ``downloads``, ``success``, ``useless``, as
+    ``crawl_stats`` counts them."""
+    outcome, state = F.col("outcome"), F.col("page_state")
+    return visits.groupBy(*keys).agg(
+        F.count_if(outcome.isin("success", "failed")).alias("downloads"),
+        F.count_if(outcome == "success").alias("success"),
+        F.count_if(F.coalesce(state.isin("blank", "useless"), F.lit(False))).alias("useless"),
+    )
+
+
+def _totals_table(spark: SparkSession, path: str, query: str, schema: T.StructType, keys: Sequence[str]) -> KeyedTables:
+    return KeyedTables(spark, f"{path}/{query}", keys, {"totals": schema}, 16)
+
+
+def run_totals(totals: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ()) -> None:
+    """Run an aggregating stream. A micro-batch hands on the keys that changed, whose totals take the
+    place of the older ones in a table by key; each query has a folder of its own. ``keys`` are by
+    default the columns that are no whole numbers."""
+    spark, schema = totals.sparkSession, totals.schema
+    keys = list(keys) or [f.name for f in schema if not isinstance(f.dataType, T.LongType)]
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        def change(now: dict[str, DataFrame], arrived: DataFrame) -> dict[str, DataFrame]:
+            same = [F.col(f"n.`{k}`").eqNullSafe(F.col(f"a.`{k}`")) for k in keys]
+            kept = now["totals"].alias("n").join(arrived.alias("a"), reduce(lambda x, y: x & y, same), "left_anti")
+            return {"totals": kept.unionByName(arrived)}
+
+        query = _query_id(spark, checkpoint)
+        _totals_table(spark, path, query, schema, keys).apply(batch, change, query, batch_id)
 
-    _finish(totals.writeStream.outputMode("complete").foreachBatch(save), checkpoint)
+    _finish(totals.writeStream.outputMode("update").foreachBatch(save), checkpoint)
 
 
-def read_totals(spark: SparkSession, path: str) -> DataFrame:
-    """The last totals stored by ``run_totals``."""
-    stored = spark.read.parquet(path)
-    last = stored.agg(F.max("batch")).first()[0]
-    return stored.filter(F.col("batch") == last).drop("batch")
+def read_totals(spark: SparkSession, path: str, checkpoint: str, schema: T.StructType, keys: Sequence[str] = ()) -> DataFrame:
+    """The totals of the query that owns ``checkpoint``, as ``run_totals`` left them."""
+    return _totals_table(spark, path, _query_id(spark, checkpoint), schema, keys).read("totals")
 
 
 def _finish(writer, checkpoint: str) -> None:

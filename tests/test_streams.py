@@ -36,7 +36,7 @@ def test_totals_over_micro_batches(spark, event_files, tmp_path):
     out = str(tmp_path / "out")
     totals = jobs.count_by(jobs.stream_table(spark, path, events.schema, max_files=1), "event_type")
     jobs.run_totals(totals, out, str(tmp_path / "checkpoint"))
-    assert sorted(jobs.read_totals(spark, out).collect()) == sorted(jobs.count_by(events, "event_type").collect())
+    assert sorted(jobs.read_totals(spark, out, str(tmp_path / "checkpoint"), totals.schema).collect()) == sorted(jobs.count_by(events, "event_type").collect())
 
 
 def test_links_stream_like_batch(spark, sf_dir, tmp_path):
@@ -52,7 +52,8 @@ def test_dedup(spark, tmp_path):
     spark.createDataFrame(rows, "k string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = lambda: jobs.stream_table(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
     jobs.run_append(jobs.dedup_tasks(stream(), ["k"], "ts"), str(tmp_path / "a"), str(tmp_path / "ca"))
-    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "a")).collect()) == ["j", "k"]
+    got = sorted((r.k, (r.ts - t0).seconds) for r in spark.read.parquet(str(tmp_path / "a")).collect())
+    assert got == [("j", 1), ("k", 0), ("k", 12)]
     windows = jobs.dedup_tasks_per_window(stream(), ["k"], "ts")
     jobs.run_append(windows, str(tmp_path / "b"), str(tmp_path / "cb"))
     got = {(r.k, (r.window_start - t0).seconds) for r in spark.read.parquet(str(tmp_path / "b")).collect()}
@@ -71,3 +72,87 @@ def test_task_files_and_sinks(spark, tmp_path):
     stream = jobs.stream_tasks(spark, str(tmp_path / "in"), max_files=5).select("kind", "url")
     jobs.run_sinks_per_batch(stream, sinks, str(tmp_path / "checkpoint"))
     assert seen == [("json", "a"), ("reject", None), ("url", "b"), "z"]
+
+
+def walked(rows, age):
+    """Rows of (key, seconds) that are let through."""
+    out, last = [], {}
+    for k, s in sorted(set(rows), key=lambda r: r[1]):
+        if k not in last or s - last[k] >= age:
+            out.append((k, s))
+            last[k] = s
+    return sorted(out)
+
+
+@pytest.mark.parametrize("files", [1, 10])
+def test_dedup_in_one_batch_and_in_ten(spark, tmp_path, files):
+    import random
+
+    rng, t0 = random.Random(1), datetime(2024, 1, 1)
+    rows = sorted(((rng.choice("abc"), rng.randrange(600)) for _ in range(300)), key=lambda r: r[1]) + [("a", 3600), ("a", 7200)]
+    size = -(-len(rows) // files)
+    for i in range(files):
+        part = [(k, t0 + timedelta(seconds=s), 2**60 + s, None) for k, s in rows[i * size : (i + 1) * size]]
+        spark.createDataFrame(part, "k string, ts timestamp, big long, nothing int").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    schema = spark.read.parquet(str(tmp_path / "in" / "0")).schema
+    for i in range(files):  # one file at a time, in the order of their rows
+        stream = jobs.stream_table(spark, str(tmp_path / "in" / ("*" if files == 1 else "{" + ",".join(map(str, range(i + 1))) + "}")), schema)
+        jobs.run_append(jobs.dedup_tasks(stream, ["k"], "ts", 10), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.k, int((r.ts - t0).total_seconds())) for r in out) == walked(rows, 10)
+    assert all(r.big == 2**60 + int((r.ts - t0).total_seconds()) and r.nothing is None for r in out)
+
+
+def test_page_upsert_replaces_and_replays(spark, tmp_path):
+    t0, schema = datetime(2024, 1, 1), "task string, url string, page_text string, update_time timestamp"
+    path, checkpoint = str(tmp_path / "store"), str(tmp_path / "checkpoint")
+    batches = [[("t", f"u{i}", f"old {i}", t0) for i in range(30)], [("t", "u1", "new", t0 + timedelta(1)), ("t", "u2", "late", t0 - timedelta(1)), ("t", "u99", "first", t0)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.stream_table(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+        before = jobs.page_store(spark, path).manifest()
+        jobs.run_page_upsert(stream, path, checkpoint)
+        after = jobs.page_store(spark, path).manifest()
+    changed = [b for b, v in after["files"]["results"].items() if before["files"]["results"].get(b) != v]
+    assert 1 <= len(changed) <= 3  # a batch of three pages touches three buckets at most
+    results, contents = jobs.read_page_store(spark, path)
+    texts = {r["url"]: bytes(r["content"]).decode() for r in results.join(contents, F.col("ref_content_id") == F.col("content_id")).collect()}
+    assert texts == {f"u{i}": f"old {i}" for i in range(30)} | {"u1": "new", "u99": "first"}
+    assert contents.count() == results.count() == 31  # what was replaced is gone
+    store, query = jobs.page_store(spark, path), jobs._query_id(spark, checkpoint)
+    assert not store.apply(spark.createDataFrame(batches[1], schema), None, query, 1)  # replayed: not even looked at
+    assert store.manifest() == after
+
+
+def test_tables_stay_whole_when_a_batch_dies(spark, tmp_path):
+    from sitegrain.operators.keyed import KeyedTables
+
+    rows = spark.createDataFrame([(i, i) for i in range(20)], "k int, v int")
+    tables = KeyedTables(spark, str(tmp_path / "t"), ["k"], {"one": rows.schema, "two": rows.schema}, 4)
+    assert tables.apply(rows, lambda now, new: {"one": new, "two": new}, "q", 0)
+
+    def dies(now, new):
+        return {"one": new.withColumn("v", F.lit(-1)), "two": new.withColumn("v", F.raise_error(F.lit("lost")).cast("int"))}
+
+    with pytest.raises(Exception, match="lost"):
+        tables.apply(rows, dies, "q", 1)
+    assert sorted(tables.read("one").collect()) == sorted(rows.collect())
+    for i in range(1, 5):
+        assert tables.apply(rows.where(f"k = {i}"), lambda now, new: {t: now[t].where(f"k <> {i}") for t in now}, "q", i)
+    assert sorted(r.k for r in tables.read("two").collect()) == [0, *range(5, 20)]
+
+
+def test_counters_equal_batch_counters(spark, tmp_path):
+    import random
+
+    from sitegrain.plans.crawl import crawl_stats
+
+    rng = random.Random(2)
+    rows = [(f"t{rng.randrange(9)}", rng.choice(["success", "failed", "duplicate"]), rng.choice(["kept", "blank", "useless", None])) for _ in range(200)]
+    visits = spark.createDataFrame(rows, "task string, outcome string, page_state string")
+    visits.repartition(4).write.parquet(str(tmp_path / "in"))
+    counters = jobs.crawl_counters(jobs.stream_table(spark, str(tmp_path / "in"), visits.schema, max_files=1), "task")
+    for _ in range(2):
+        jobs.run_totals(counters, str(tmp_path / "out"), str(tmp_path / "c"), ["task"])
+    want = crawl_stats(visits.withColumn("task_id", F.col("task"))).select("task", "downloads", "success", "useless")
+    assert sorted(jobs.read_totals(spark, str(tmp_path / "out"), str(tmp_path / "c"), counters.schema, ["task"]).collect()) == sorted(want.collect())
