@@ -1,83 +1,78 @@
-"""Phrase search: every phrase, every occurrence, overlaps included."""
+"""Phrase search: every phrase, every occurrence, overlaps included.
 
-from __future__ import annotations
+Each phrase has one anchor: its longest whole word, where a word counts as whole if other characters of the
+phrase stand on both its sides, else two characters of the phrase, or the only one it has. A text
+that holds the phrase holds the anchor, as a word or as neighbouring characters. Texts and phrases meet by
+their anchors, as narrow rows; occurrences are counted only where they have met.
+"""
 
-import math
-from collections import Counter
-from collections.abc import Iterator
+from __future__ import annotations
 
-import ahocorasick
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-def _chunk_count(phrases: DataFrame, max_chars: int) -> int:
-    """Smallest tried number of hash chunks in which no chunk of several phrases
-    holds more than twice ``max_chars`` characters."""
-    total = phrases.agg(F.sum(F.length("pattern").cast("bigint"))).first()[0] or 0
-    n = max(1, math.ceil(total / max_chars))
-    while n > 1:
-        sizes = phrases.groupBy(F.pmod(F.xxhash64("pattern"), F.lit(n)).alias("c")).agg(
-            F.sum(F.length("pattern").cast("bigint")).alias("chars"), F.count("*").alias("k")
-        )
-        if sizes.filter((F.col("chars") > 2 * max_chars) & (F.col("k") > 1)).isEmpty():
-            break
-        n *= 2
-    return n
-
-
-def match_patterns(
-    df: DataFrame,
-    patterns: DataFrame,
-    key: str,
-    text: str,
-    pattern: str = "pattern",
-    max_chars: int = 2_000_000,
-) -> DataFrame:
+
+from sitegrain.plans.staging import Staging
+
+_LETTER = r"\p{L}\p{N}_"
+_WORD = f"[{_LETTER}]+"
+_WHOLE_WORD = f"(?<=[^{_LETTER}])[{_LETTER}]+(?=[^{_LETTER}])"
+
+
+def _characters(text: Column) -> Column:
+    return F.split(text, "")
+
+
+def _pairs(text: Column) -> Column:
+    """Neighbouring characters, two by two; the character of a text that has one."""
+    chars = _characters(text)
+    two = F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat(a, b)))
+    return F.filter(two, lambda p: p.isNotNull())
+
+
+def _anchors(phrases: DataFrame) -> DataFrame:
+    """``pattern, kind, anchor``."""
+    words = F.regexp_extract_all("pattern", F.lit(_WHOLE_WORD), 0)
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    # The first pair whose characters differ, as it is rarer than others; any pair would do.
+    pairs = _pairs(F.col("pattern"))
+    pair = F.coalesce(F.get(F.filter(pairs, lambda p: F.left(p, F.lit(1)) != F.right(p, F.lit(1))), F.lit(0)), F.get(pairs, F.lit(0)))
+    return phrases.withColumn("_w", longest).select(
+        "pattern",
+        F.when(F.col("_w").isNotNull(), "word").when(F.length("pattern") > 1, "pair").otherwise("one").alias("kind"),
+        F.coalesce("_w", F.when(F.length("pattern") > 1, pair), "pattern").alias("anchor"),
+    )
+
+
+def _named(kind: str, anchors: Column) -> Column:
+    return F.transform(anchors, lambda a: F.struct(F.lit(kind).alias("kind"), a.alias("anchor")))
+
+
+def _hits(text: Column, pattern: Column) -> Column:
+    """Occurrences of a phrase, overlapping ones too."""
+    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(pattern, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    return F.regexp_count(text, quoted).cast("bigint")
+
+
+def match_patterns(df: DataFrame, patterns: DataFrame, key: str, text: str, pattern: str = "pattern") -> DataFrame:
     """``(key, pattern, hits)`` for each phrase that occurs in a text.
 
-    Texts are not shuffled. Phrases are broadcast in chunks of about ``max_chars``
-    characters, measured beforehand; a larger set takes one more pass over the texts
-    per chunk, so memory per task stays bounded and no phrase is left out. Phrase
-    rows that repeat count once.
+    Texts are split into anchors in one pass, whatever the number of phrases, and stay where they are unless
+    a phrase may occur in them. Phrase rows that repeat count once, empty and null ones not at all. Rows
+    of ``df`` that repeat a key are searched each; null texts hold nothing.
     """
-    phrases = (
-        patterns.select(F.col(pattern).alias("pattern")).filter(F.length("pattern") > 0).distinct()
-    )
-    schema = T.StructType(
-        [df.schema[key], T.StructField("pattern", T.StringType()), T.StructField("hits", T.LongType())]
-    )
-    n = _chunk_count(phrases, max_chars)
-    result = None
-    for c in range(n):
-        chunk = phrases if n == 1 else phrases.filter(F.pmod(F.xxhash64("pattern"), F.lit(n)) == c)
-        found = _search(df.select(key, text), [r[0] for r in chunk.collect()], schema)
-        result = found if result is None else result.unionByName(found)
-    return result
-
-
-def _search(df: DataFrame, phrases: list[str], schema: T.StructType) -> DataFrame:
-    spark, (key, text) = df.sparkSession, df.columns
-    if not phrases:
-        return spark.createDataFrame([], schema)
-    automaton = ahocorasick.Automaton()
-    for p in phrases:
-        automaton.add_word(p, p)
-    automaton.make_automaton()
-    shared = spark.sparkContext.broadcast(automaton)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, found, hits = [], [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = Counter(p for _, p in shared.value.iter(t)) if t else {}
-                keys += [k] * len(counts)
-                found += counts.keys()
-                hits += counts.values()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, batch.column(0).type), pa.array(found, pa.string()), pa.array(hits, pa.int64())],
-                [key, "pattern", "hits"],
-            )
-
-    return df.mapInArrow(search, schema)
+    stage = Staging(df.sparkSession, "phrases")
+    phrases = patterns.select(F.col(pattern).alias("pattern")).filter(F.length("pattern") > 0).distinct()
+    anchors = stage.write(_anchors(phrases), "anchors")
+    kinds = {r[0] for r in anchors.select("kind").distinct().collect()}  # three at most
+    body = F.col(text)
+    forms = {"word": F.regexp_extract_all(body, F.lit(_WORD), 0), "pair": _pairs(body), "one": _characters(body)}
+    # A text is known by its hash beside its key, which rows may share.
+    which = [F.col(key).alias("_key"), F.xxhash64(body).alias("_h1"), F.xxhash64(F.lit(1), body).alias("_h2")]
+    used = [_named(k, F.array_distinct(forms[k])) for k in sorted(kinds)]
+    if not used:
+        return df.select(key, F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("bigint").alias("hits")).limit(0)
+    held = df.filter(body.isNotNull()).select(*which, F.explode(F.concat(*used)).alias("a")).select("_key", "_h1", "_h2", "a.kind", "a.anchor")
+    met = stage.write(held.join(anchors, ["kind", "anchor"]).select("_key", "_h1", "_h2", "pattern").distinct(), "met")
+    same = F.col("_key").eqNullSafe(F.col(key)) & (F.col("_h1") == F.xxhash64(body)) & (F.col("_h2") == F.xxhash64(F.lit(1), body))
+    found = df.select(key, text).join(met, same).filter(F.contains(body, F.col("pattern")))
+    return found.select(key, "pattern", _hits(body, F.col("pattern")).alias("hits"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitegrain.functions.text import escaped_name
 from sitegrain.operators.store import put_contents
 
 
@@ -67,8 +68,9 @@ def read_raw_pages(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
 def write_raw_pages(pages: DataFrame, path: str, name: str, body: str) -> int:
     """One file per row under a folder that all tasks reach, written by the tasks; how many.
 
-    Files are dealt over 256 folders by name. A row whose name another has replaces its file, so
-    a task that runs again leaves the same files. A null body is an empty file, a null name fails.
+    Files are dealt over 256 folders by name. Names are escaped as those of saved pages, so none leads
+    out of its folder; a null or empty one, ``.`` and ``..`` raise before anything is written. A row whose escaped name another
+    has replaces its file, so a task that runs again leaves the same files. A null body is an empty file.
     ``path`` is of a file system that ``pyarrow.fs`` opens.
     """
 
@@ -86,5 +88,8 @@ def write_raw_pages(pages: DataFrame, path: str, name: str, body: str) -> int:
             yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
 
     content = F.col(body) if isinstance(pages.schema[body].dataType, T.BinaryType) else F.encode(body, "UTF-8")
-    rows = pages.select(F.col(name).cast("string").alias("name"), F.coalesce(content, F.lit(b"")).alias("body"))
+    escaped = escaped_name(F.col(name).cast("string"))
+    if not pages.filter(escaped.isNull() | escaped.isin("", ".", "..")).isEmpty():
+        raise ValueError("a page has no file name")
+    rows = pages.select(escaped.alias("name"), F.coalesce(content, F.lit(b"")).alias("body"))
     return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -64,10 +64,12 @@ def test_frontier_is_shuffled_once(spark, plan):
     assert "LeftAnti" in text and text.count("Exchange (") == 2
 
 
-def test_phrases_do_not_move_the_texts(spark, pages, plan):
-    phrases = spark.createDataFrame([("x",)], "pattern string")
+def test_phrases_are_met_by_joins_alone(spark, pages, plan):
+    phrases = spark.createDataFrame([("x",), ("one whole word",)], "pattern string")
     text = plan(patterns.match_patterns(pages, phrases, "page_id", "html"))
-    assert "Exchange" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
+    # A text moves at most once, and only to meet the phrases found for it.
+    assert "Exchange hashpartitioning" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
+    assert not any(w in text for w in ("Python", "Arrow", "Pandas"))
 
 
 def test_staging_uses_the_shared_folder(spark):

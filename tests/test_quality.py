@@ -72,11 +72,10 @@ def test_blank(spark):
     assert [r.page_id for r in quality.drop_blank_pages(df).collect()] == [3]
 
 
-@pytest.mark.parametrize("max_chars", [2_000_000, 5])
-def test_phrases_overlap_and_repeat(spark, max_chars):
+def test_phrases_overlap_and_repeat(spark):
     texts = spark.createDataFrame([(1, "ushers"), (2, "aaaa"), (3, None), (4, "zz")], "id int, text string")
     phrases = spark.createDataFrame([(p,) for p in ("he", "she", "his", "hers", "aa", "aa", "")], "pattern string")
-    found = patterns.match_patterns(texts, phrases, "id", "text", max_chars=max_chars)
+    found = patterns.match_patterns(texts, phrases, "id", "text")
     assert {tuple(r) for r in found.collect()} == {(1, "he", 1), (1, "she", 1), (1, "hers", 1), (2, "aa", 3)}
 
 
@@ -89,13 +88,26 @@ def test_random_phrases_against_brute_force(spark):
         spark.createDataFrame([(p,) for p in phrases], "pattern string"),
         "id",
         "text",
-        max_chars=20,
     )
     count = lambda t, p: sum(t.startswith(p, i) for i in range(len(t)))
     want = {(i, p, count(t, p)) for i, t in texts for p in phrases if p in t}
     assert {tuple(r) for r in found.collect()} == want
 
 
+def test_phrases_of_words_against_brute_force(spark):
+    """Words, single characters, punctuation, repeated keys and rows, and overlapping phrases."""
+    rnd = random.Random(8)
+    words = lambda a, b: "".join(rnd.choice(["ab", "a", "ba", "中文", "é1", "😀"]) + rnd.choice([" ", " ", "-", "", "\\E", "."]) for _ in range(rnd.randint(a, b)))
+    texts = [(i % 150, words(0, 30)) for i in range(200)] + [(None, "a ab a ab a"), (7, None), (8, "a ab a ab a"), (8, "a ab a ab a")]
+    phrases = {words(1, 4) for _ in range(80)} | {"a ab a", " ", "a", "\\E"}
+    found = patterns.match_patterns(
+        spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(p,) for p in phrases], "pattern string"), "id", "text"
+    )
+    count = lambda t, p: sum(t.startswith(p, i) for i in range(len(t)))
+    want = sorted(((i, p, count(t, p)) for i, t in texts if t for p in phrases if p in t), key=repr)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == want
+
+
 def test_no_phrases(spark):
     texts = spark.createDataFrame([(1, "x")], "id int, text string")
     assert patterns.match_patterns(texts, spark.createDataFrame([], "pattern string"), "id", "text").count() == 0

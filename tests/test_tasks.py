@@ -68,3 +68,15 @@ def test_sinks_run_in_name_order(spark):
     assert seen == [("a", 3), ("b", 3)]
     batch = spark.createDataFrame([("t", "u", "x"), ("t", "v", "y")], "task string, url string, page_text string")
     assert [r.results for r in routing.result_batches(batch).collect()] == [{"u": "x"}, {"v": "y"}]
+
+
+def test_raw_page_names_stay_in_their_folder(spark, tmp_path):
+    from sitegrain.sources import seeds
+
+    rows = [("../../escaped.txt", "a"), ("a/b", "b"), ("c", None)]
+    assert seeds.write_raw_pages(spark.createDataFrame(rows, "name string, body string"), str(tmp_path / "in" / "deep"), "name", "body") == 3
+    files = sorted(p.name for p in tmp_path.rglob("*") if p.is_file() and not p.name.endswith(".crc"))
+    assert files == ["..{..{escaped.txt", "a{b", "c"] and all(p.is_relative_to(tmp_path / "in" / "deep") for p in tmp_path.rglob("*") if p.is_file())
+    for bad in ("..", "", None):
+        with pytest.raises(ValueError):
+            seeds.write_raw_pages(spark.createDataFrame([(bad, "x")], "name string, body string"), str(tmp_path / "x"), "name", "body")
