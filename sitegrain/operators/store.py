@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any, NamedTuple
@@ -281,7 +282,10 @@ def update_by_partition(
 ) -> None:
     """Update a table partitioned by ``partition_col``, rewriting only the partitions
     that hold a match. Rows stay in the task that read them: there is no shuffle, and
-    a partition with most of the rows is rewritten by as many tasks as it has splits."""
+    a partition with most of the rows is rewritten by as many tasks as it has splits.
+
+    New partitions are written beside the table and moved into place when all of them are there, so
+    a job that fails leaves the table as it was."""
     if partition_col in assignments:
         raise ValueError("the partition column cannot be assigned")
     table = spark.read.parquet(path)
@@ -294,13 +298,29 @@ def update_by_partition(
     # The null partition is a partition like any other.
     same = F.col(f"t.`{partition_col}`").eqNullSafe(F.col(f"x.`{partition_col}`"))
     touched = table.alias("t").join(changed.alias("x"), same, "left_semi")
-    (
-        _updated(touched, hit, assignments)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition_col)
-        .parquet(path)
-    )
+    draft = f"{path.rstrip('/')}/_update-{uuid.uuid4().hex}"
+    try:
+        _updated(touched, hit, assignments).write.partitionBy(partition_col).parquet(f"{draft}/new")
+        _move_partitions(spark, f"{draft}/new", path, f"{draft}/old")
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(draft)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _move_partitions(spark: SparkSession, new: str, path: str, old: str) -> None:
+    """Put the partition folders of ``new`` in the place of those of ``path``. One that cannot be put
+    there gives its place back."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at(old))
+    for folder in [s.getPath() for s in fs.listStatus(at(new)) if s.isDirectory()]:
+        name = folder.getName()
+        place, aside = at(at(path), name), at(at(old), name)
+        if not fs.rename(place, aside):
+            raise OSError(f"{place} cannot be moved")
+        if not fs.rename(folder, place):
+            fs.rename(aside, place)
+            raise OSError(f"{folder} cannot be moved")
 
 
 # --- deleting -------------------------------------------------------------------

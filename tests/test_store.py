@@ -226,3 +226,15 @@ def test_null_times_names_and_partitions(spark, tmp_path):
     assert {r.id: r.v for r in spark.read.parquet(path).collect()} == {1: "z", 2: "z", 3: "y"}
     with pytest.raises(MissingRowsError):
         store.delete_rows(times, F.col("id") == 9)
+
+
+def test_a_failed_partition_update_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(1, "a"), (2, "b"), (3, None), (4, "c d=/%")]
+    spark.createDataFrame(rows, "v int, p string").write.partitionBy("p").parquet(path)
+    with pytest.raises(Exception, match="lost"):
+        store.update_by_partition(spark, path, F.col("v") < 3, {"v": F.when(F.col("v") == 2, F.raise_error(F.lit("lost")).cast("int")).otherwise(9)}, "p")
+    assert sorted(map(tuple, spark.read.parquet(path).collect()), key=repr) == sorted(rows, key=repr)
+    store.update_by_partition(spark, path, F.col("v") > 1, {"v": F.col("v") * 10}, "p")
+    assert sorted(map(tuple, spark.read.parquet(path).collect()), key=repr) == sorted([(1, "a"), (20, "b"), (30, None), (40, "c d=/%")], key=repr)
+    assert not [x for x in (tmp_path / "t").iterdir() if x.name.startswith("_update")]
