@@ -197,7 +197,8 @@ def _phrases(levels: int, shared: list, places) -> Callable:
                 w, row = level.words, level.words.text_of_word()
                 for k in range(1, levels + 1):
                     at, h = _candidates(level, k, shared)
-                    may = known(places.value, mix64(h ^ level.chunk[at]))
+                    place = mix64(h ^ level.chunk[at])
+                    may = known(places.value, place) & known(places.value, mix64(place))
                     begin, h = at[may], h[may]
                     phrases = [w.data[s:e].tobytes().decode() for s, e in zip(w.start[begin].tolist(), w.end[begin + k - 1].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
@@ -210,7 +211,9 @@ def _phrases(levels: int, shared: list, places) -> Callable:
 def _place_table(often: DataFrame) -> np.ndarray:
     def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(mix64(b["g"].to_numpy().view(np.uint64) ^ b["at"].to_numpy().view(np.uint64)).view(np.int64))], ["g"])
+            place = mix64(b["g"].to_numpy().view(np.uint64) ^ b["at"].to_numpy().view(np.uint64))
+            # Two slots each, so that one row in 256 passes by chance.
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((place, mix64(place))).view(np.int64))], ["g"])
 
     return bit_table(often.select("g", "at").mapInArrow(mix, "g long"))
 
