@@ -257,9 +257,16 @@ def blank_pages(spark, d):
 
 @query
 def decode_pages(spark, d):
+    """Texts as UTF-8 with and without a mark, as UTF-16, and in one byte a character where they have such characters only."""
+    text, turn = F.col("text"), F.col("doc_id") % 4
+    one_byte = text.rlike(r"^[\x00-\x7F\xA0-\xFF]*+$")
     raw = table(spark, d, "documents").select(
         "doc_id",
-        F.encode(I.by_turn("doc_id", F.col("text"), F.concat(F.lit("﻿"), F.col("text"))), "UTF-8").alias("content"),
+        F.when(turn == 1, F.encode(F.concat(F.lit("\ufeff"), text), "UTF-8"))
+        .when(turn == 2, F.encode(text, "UTF-16"))
+        .when((turn == 3) & one_byte, F.encode(text, "ISO-8859-1"))
+        .otherwise(F.encode(text, "UTF-8"))
+        .alias("content"),
     )
     return quality.decode_pages(raw).select("doc_id", F.col("page_text").alias("text"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -11,11 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitegrain.constants import USELESS_MAX_CHARS, USELESS_PHRASES
-
-try:
-    from charset_normalizer import from_bytes as _detect
-except ImportError:  # decode_pages raises when it meets bytes that need it
-    _detect = None
+from sitegrain.functions.charsets import likeliest_charset
 
 _BOMS = (
     (b"\xff\xfe\x00\x00", "utf-32"),
@@ -23,9 +18,6 @@ _BOMS = (
     (b"\xff\xfe", "utf-16"),
     (b"\xfe\xff", "utf-16"),
 )
-_GB_FAMILY = ("gb2312", "gbk", "gb18030", "hz")
-# With fewer double-byte pairs the detector has too little to go by.
-_FEW_PAIRS = 16
 
 
 def _quoted(phrases: Sequence[str]) -> str:
@@ -64,28 +56,12 @@ def drop_blank_pages(pages: DataFrame, body: str = "html") -> DataFrame:
     return pages.filter(~is_blank(F.col(body)))
 
 
-def _short_hanzi(raw: bytes) -> bool:
-    """A few double-byte pairs, most of them in the frequent block of the GB character set."""
-    pairs = re.findall(rb"[\x81-\xfe][\x40-\x7e\x80-\xfe]", raw)
-    common = sum(0xB0 <= p[0] <= 0xD7 and p[1] >= 0xA1 for p in pairs)
-    return 0 < len(pairs) < _FEW_PAIRS and common * 2 > len(pairs)
-
-
 def _decode_one(raw: bytes) -> str:
     """Decode bytes that are not valid UTF-8; empty when the guess does not hold."""
-    guess = next((name for bom, name in _BOMS if raw.startswith(bom)), None)
-    if guess is None and _short_hanzi(raw):
-        guess = "gb18030"
-    if guess is None:
-        if _detect is None:
-            raise RuntimeError("pages that are not UTF-8 need the package charset_normalizer")
-        best = _detect(raw).best()
-        guess = best.encoding if best else None
-        if guess in _GB_FAMILY:
-            guess = "gb18030"
+    guess = next((name for bom, name in _BOMS if raw.startswith(bom)), None) or likeliest_charset(raw)
     try:
-        return raw.decode(guess) if guess else ""
-    except (UnicodeError, LookupError):
+        return raw.decode(guess)
+    except UnicodeError:
         return ""
 
 
@@ -97,9 +73,10 @@ def _decode_guessed(raw: pd.Series) -> pd.Series:
 def decode_pages(pages: DataFrame, content: str = "content", out: str = "page_text") -> DataFrame:
     """Adds the page text.
 
-    Valid UTF-8 is decoded by Spark. Only the other bytes are handed to the Python
-    detector, without which they raise: the rest of the column reaches it as nulls.
-    Null content gives ''.
+    Valid UTF-8 is decoded by Spark. Only the other bytes are handed to Python, in
+    Arrow batches: the rest of the column reaches it as nulls. A byte-order mark names
+    the charset, else byte and pair statistics do (``functions/charsets.py``). Bytes that
+    the likeliest charset does not hold throughout, and null content, give ''.
     """
     raw = F.coalesce(F.col(content), F.lit(b""))
     as_text = raw.cast("string")

@@ -56,10 +56,37 @@ def test_paragraphs_in_other_charsets(spark):
     assert got == {**PARAGRAPHS, "short": "网站维护中"}
 
 
-def test_unknown_bytes_need_the_detector(monkeypatch):
-    monkeypatch.setattr(quality, "_detect", None)
-    with pytest.raises(RuntimeError):
-        quality._decode_one(PARAGRAPHS["euc-kr"].encode("euc-kr"))
+IN_CHARSETS = {
+    ("euc-kr", "cp949"): "안녕하세요 세계 여러분, 오늘은 날씨가 참 좋습니다. 우리는 서울에서 부산까지 기차를 타고 갔습니다.",
+    ("euc-jp", "shift_jis"): "これは日本語の文章です。カタカナとひらがなと漢字をまぜて書きます。東京の天気は晴れでした。",
+    ("gb18030", "gb2312"): "今天天气很好，我们一起去公园散步，看见很多人在湖边拍照。请不要忘记带上你的相机和雨伞。",
+    ("big5",): "今天天氣很好，我們一起去公園散步，看見很多人在湖邊拍照。請不要忘記帶上你的相機和雨傘。",
+    ("koi8-r", "cp1251"): "Привет, мир! Сегодня хорошая погода, и мы пошли гулять в парк вместе с друзьями из Москвы.",
+    ("cp1252",): "Überraschung à la carte: où est passé l’été? Señor Núñez vive en España, größer und schöner.",
+    ("cp1253",): "Καλημέρα κόσμε, σήμερα ο καιρός είναι πολύ καλός και πήγαμε βόλτα στο πάρκο με τους φίλους.",
+    ("cp1255",): "שלום עולם, היום מזג האוויר טוב מאוד והלכנו לטייל בפארק עם החברים שלנו מירושלים.",
+    ("cp1256",): "مرحبا بالعالم، الطقس جميل اليوم وذهبنا إلى الحديقة مع أصدقائنا من المدينة القديمة.",
+    ("cp874",): "สวัสดีชาวโลก วันนี้อากาศดีมากและเราไปเดินเล่นในสวนสาธารณะกับเพื่อนของเรา",
+}
+
+
+@pytest.mark.parametrize("markup", ["", "<p class=x>"])
+def test_short_and_long_texts_in_charsets(spark, markup):
+    """The first 8 characters that need the charset, whole texts, and 500 characters."""
+    rows = []
+    for charsets, text in IN_CHARSETS.items():
+        start = next(i for i, c in enumerate(text) if c > "\x7f")
+        texts = {markup + t for t in (text[start : start + 8], text, (text + " ") * 10)}
+        rows += [(f"{c} {len(t)}", t, t.encode(c)) for c in charsets for t in sorted(texts)]
+    df = spark.createDataFrame(rows, "name string, want string, content binary")
+    wrong = [(r.name, r.want[:20], r.page_text[:20]) for r in quality.decode_pages(df).collect() if r.page_text != r.want]
+    assert wrong == []
+
+
+def test_bytes_of_no_charset_are_empty(spark):
+    cut = [IN_CHARSETS["big5",].encode("big5")[:-1], "größe".encode() + b"\xc3 und " + "größer".encode(), b"\xff\xfe\x00"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cut)], "i int, content binary")
+    assert {r.page_text for r in quality.decode_pages(df).collect()} == {""}
 
 
 def test_every_phrase_is_found(spark):
