@@ -13,9 +13,6 @@ from sitegrain.plans.staging import Staging
 
 Filter = Column | Mapping[str, Any] | None
 
-# Rows that a top-k plan may hold in one task; beyond it paging works on sorted runs.
-TOP_K_ROWS = 1_000_000
-
 
 def matches(condition: Filter) -> Column:
     """A filter given as a column or as equalities; a null value matches null."""
@@ -93,36 +90,67 @@ def page_rows(
 ) -> tuple[DataFrame, int]:
     """One page of rows sorted descending, and the number of rows before paging.
 
-    ``tiebreak`` makes the order total. A limit of 0 means all rows. Small pages use
-    a top-k plan. Deep or unlimited ones are cut out of a range-partitioned, sorted
-    table, so that no task holds the rows that were skipped.
+    ``tiebreak`` makes the order total; of rows equal in both columns all come along if one
+    does. A limit of 0 means all rows; nulls come last. The two columns alone are dealt into
+    sorted, written runs, whose sizes tell where the page begins and ends. Rows between those
+    two keys are then read with all their columns, so no task holds the rows that were skipped.
     """
     rows = df.filter(matches(condition))
-    return _page(rows, [F.desc(sort), F.desc(tiebreak)], offset, limit), rows.count()
-
-
-def _page(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
-    if limit and offset + limit <= TOP_K_ROWS:
-        return rows.orderBy(*order).offset(offset).limit(limit)
-    if not offset and not limit:
-        return rows.orderBy(*order)
-    return _cut_sorted(rows, order, offset, limit)
-
-
-def _cut_sorted(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
-    # The sorted runs are written once, because run numbers must not change between
-    # counting and cutting.
+    keys = rows.select(F.col(sort).alias("_s"), F.col(tiebreak).alias("_t"))
+    runs, sizes = _sorted_runs(keys, [F.desc("_s"), F.desc("_t")])
+    total = sum(sizes.values())
+    end = min(total, offset + limit) if limit else total
+    if offset >= end:
+        return rows.filter(F.lit(False)), total
+    s, t, page = F.col(sort), F.col(tiebreak), rows
+    if offset:
+        first = _key_at(runs, sizes, offset)
+        page = page.filter(~_precedes(s, t, first["_s"], first["_t"]))
+    if end < total:
+        last = _key_at(runs, sizes, end - 1)
+        page = page.filter(~_precedes(last["_s"], last["_t"], s, t))
+    return page.orderBy(F.desc(sort), F.desc(tiebreak)), total
+
+
+def _precedes(s: Column, t: Column, other_s: Column, other_t: Column) -> Column:
+    """Whether key ``(s, t)`` comes before another one, descending with nulls last."""
+
+    def larger(a: Column, b: Column) -> Column:
+        return F.when(a.isNull(), False).when(b.isNull(), True).otherwise(a > b)
+
+    return larger(s, other_s) | (s.eqNullSafe(other_s) & larger(t, other_t))
+
+
+def _key_at(runs: DataFrame, sizes: Mapping[int, int], rank: int) -> Column:
+    """The key with ``rank`` keys before it, as a scalar of the run that has it."""
+    for run in sorted(sizes):
+        if rank < sizes[run]:
+            break
+        rank -= sizes[run]
+    place = F.row_number().over(Window.partitionBy("_run").orderBy(F.desc("_s"), F.desc("_t")))
+    numbered = runs.filter(F.col("_run") == run).withColumn("_n", place)
+    return numbered.filter(F.col("_n") == rank + 1).select(F.struct("_s", "_t")).scalar()
+
+
+def _sorted_runs(rows: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, dict[int, int]]:
+    """Rows dealt by ranges of ``order``, ``_run`` being the range, and rows per run. Written
+    once, because run numbers must not change between counting and cutting."""
     runs = Staging(rows.sparkSession, "paging").write(
         rows.repartitionByRange(*order).withColumn("_run", F.spark_partition_id()), "runs"
     )
-    end = offset + limit if limit else None
+    return runs, dict(runs.groupBy("_run").count().collect())
+
+
+def _cut_sorted(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> tuple[DataFrame, int]:
+    runs, sizes = _sorted_runs(rows, order)
+    total, end = sum(sizes.values()), offset + limit if limit else None
     before, wanted = 0, []
-    for run, n in sorted(runs.groupBy("_run").count().collect()):
+    for run, n in sorted(sizes.items()):
         if before + n > offset and (end is None or before < end):
             wanted.append((run, offset - before, None if end is None else end - before))
         before += n
     if not wanted:
-        return runs.filter(F.lit(False)).drop("_run")
+        return runs.filter(F.lit(False)).drop("_run"), total
     (first, skip, _), (last, _, keep) = wanted[0], wanted[-1]
     inside = runs.filter(F.col("_run").between(first, last))
     # Only the runs at both ends need row numbers.
@@ -134,7 +162,7 @@ def _cut_sorted(rows: DataFrame, order: Sequence[Column], offset: int, limit: in
     if keep is not None:
         cut = cut.filter((F.col("_run") != last) | (F.col("_n") <= keep))
     whole = inside.filter(~edge)
-    return cut.drop("_n").unionByName(whole).drop("_run").orderBy(*order)
+    return cut.drop("_n").unionByName(whole).drop("_run").orderBy(*order), total
 
 
 def aggregate_paged(
@@ -145,5 +173,4 @@ def aggregate_paged(
     limit: int = 0,
 ) -> tuple[DataFrame, int]:
     """A caller's aggregation, then one page of its rows in ``order_by``, and its total."""
-    groups = fn(df)
-    return _page(groups, order_by, offset, limit), groups.count()
+    return _cut_sorted(fn(df), order_by, offset, limit)

@@ -188,9 +188,7 @@ def test_file_names(spark):
     assert "\n" not in b64[1] and "\r" not in b64[1]
 
 
-@pytest.mark.parametrize("top_k", [1_000_000, 3])
-def test_paging(spark, monkeypatch, top_k):
-    monkeypatch.setattr(search, "TOP_K_ROWS", top_k)
+def test_paging(spark):
     df = spark.range(1, 101, numPartitions=7).select("id", (F.col("id") % 10).alias("v"))
     want = sorted(((i, i % 10) for i in range(1, 101)), key=lambda r: (-r[1], -r[0]))
     for offset, limit in ((0, 0), (0, 5), (1, 2), (37, 20), (95, 50), (40, 0), (100, 5), (250, 0)):
@@ -199,6 +197,20 @@ def test_paging(spark, monkeypatch, top_k):
         assert total == 100 and got == want[offset : offset + limit if limit else None], (offset, limit)
 
 
+def test_pages_with_nulls_and_other_types(spark):
+    values = [None, float("nan"), 1.5, None, 0.0, 1.5, -2.0]
+    rows = [(f"k{i}", v, datetime(2024, 10, 27, i), i) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id string, v double, at timestamp, wide int")
+    for sort, want in (("v", ["k1", "k5", "k2", "k4", "k6", "k3", "k0"]), ("at", [f"k{i}" for i in range(6, -1, -1)])):
+        for offset in range(7):
+            page, total = search.page_rows(df, sort, "id", offset, 2)
+            assert (total, page.columns, [r.id for r in page.collect()]) == (7, df.columns, want[offset : offset + 2])
+    page, total = search.page_rows(df, "v", "id", 0, 5, {"v": 1.5})
+    assert total == 2 and [r.wide for r in page.collect()] == [5, 2]
+    page, total = search.page_rows(df.where("false"), "v", "id", 0, 5)
+    assert (total, page.count()) == (0, 0)
+
+
 def test_small_searches(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "b", None), (3, "a", 7)], "id int, k string, v int")
     assert [tuple(r) for r in search.find(df, {"k": "a"}, ["v"], "id").collect()] == [(1, 5), (3, 7)]
