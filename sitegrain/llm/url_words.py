@@ -10,6 +10,7 @@ inside some label are looked up, so no vocabulary is sent anywhere.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from dataclasses import dataclass
 
 import pandas as pd
@@ -19,9 +20,6 @@ from pyspark.sql import functions as F
 from sitegrain.llm.common import lower_ascii
 from sitegrain.plans.staging import Staging
 
-#: Longest word of a host label.
-MOST_LETTERS = 24
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -74,11 +72,12 @@ def path_tokens(shape: Column) -> Column:
 
 
 def word_counts(html: DataFrame) -> DataFrame:
-    """``word, n`` of runs of letters outside tags, lower-cased."""
-    text = F.regexp_replace(F.col("html"), r"(?s)<[^>]*+>", " ")
+    """``word, n`` of runs of letters outside tags, scripts and styles, lower-cased."""
+    shown = F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b[^>]*+>.*?(?:</\1\s*+>|\z)", " ")
+    text = F.regexp_replace(shown, r"(?s)<[^>]*+>", " ")
     return (
         html.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"))
-        .where((F.col("word") != "") & (F.length("word") <= MOST_LETTERS))
+        .where(F.col("word") != "")
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -88,12 +87,21 @@ def best_split(label: str, log: dict[tuple[int, int], float], unknown: float) ->
     """Likeliest words of a label. ``log`` has start and length of known words; a run of letters
     that is no word costs ``unknown`` and a tenth of the rest for each further letter. Of equal
     splits the one with the longest last words wins."""
-    n = len(label)
+    n, fade = len(label), math.log(0.1)
+    known = defaultdict(list)
+    for (start, length), value in sorted(log.items()):
+        known[start + length].append((start, value))
     best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+    run, begin = -math.inf, 0  # best split that ends in unknown letters, and where those begin
     for end in range(1, n + 1):
-        for start in range(max(0, end - MOST_LETTERS), end):
-            score = best[start] + log.get((start, end - start), unknown + (end - start - 1) * math.log(0.1))
-            if score > best[end]:
+        if best[end - 1] + unknown > run + fade:
+            run, begin = best[end - 1] + unknown, end - 1
+        else:
+            run += fade
+        best[end], back[end] = run, begin
+        for start, value in known[end]:
+            score = best[start] + value
+            if score > best[end] or (score == best[end] and start < back[end]):
                 best[end], back[end] = score, start
     words, end = [], n
     while end:
@@ -103,15 +111,22 @@ def best_split(label: str, log: dict[tuple[int, int], float], unknown: float) ->
 
 
 def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
-    """``label, words`` for distinct ``label``. Every part of a label is looked up in the counts."""
+    """``label, words`` for distinct ``label``. Every part of a label that is as long as some word
+    is looked up in the counts. The driver learns which lengths words have, up to the longest label."""
     total = counts.agg(F.sum("n")).first()[0] or 0
-    size = F.length("label")
+    longest = labels.agg(F.max(F.length("label"))).first()[0] or 0
+    lengths = sorted(r[0] for r in counts.select(F.length("word").alias("l")).where(F.col("l") <= longest).distinct().collect())
+    most = lengths[-1] if lengths else 0
+    # Parts go by a key, for a label may be long; each is cut from the piece behind its start.
+    starts = F.transform(F.sequence(F.lit(0), F.length("label") - 1), lambda i: F.struct(i.alias("start"), F.substring("label", i + 1, F.lit(most)).alias("rest")))
+    fits = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("p.rest"))
     parts = (
-        labels.withColumn("start", F.explode(F.when(size > 0, F.sequence(F.lit(0), size - 1))))
-        .withColumn("length", F.explode(F.sequence(F.lit(1), F.least(size - F.col("start"), F.lit(MOST_LETTERS)))))
-        .withColumn("word", F.substring("label", F.col("start") + 1, F.col("length")))
+        labels.where("label <> ''")
+        .select(F.md5("label").alias("_id"), F.explode(starts).alias("p"))
+        .select("_id", "p.start", "p.rest", F.explode(fits).alias("length"))
+        .select("_id", "start", "length", F.substring("rest", F.lit(1), F.col("length")).alias("word"))
     )
-    found = parts.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("start", "length", "n")).alias("known"))
+    found = parts.join(counts, "word").groupBy("_id").agg(F.collect_list(F.struct("start", "length", "n")).alias("known"))
     unknown = math.log(1 / (total + 1)) + math.log(0.1)
 
     @F.pandas_udf("array<string>")
@@ -122,7 +137,7 @@ def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
 
         return pd.Series([one(a, b) for a, b in zip(names, known, strict=True)])
 
-    return labels.join(found, "label", "left").select("label", split("label", "known").alias("words"))
+    return labels.withColumn("_id", F.md5("label")).join(found, "_id", "left").select("label", split("label", "known").alias("words"))
 
 
 def host_words(hosts: DataFrame, counts: DataFrame, stage: Staging) -> DataFrame:

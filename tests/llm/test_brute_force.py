@@ -350,3 +350,61 @@ def test_segmentation_and_verdicts(spark, sf_dir, stage):
         rule = max(fits, key=lambda r: len(r.text), default=None)
         assert (u.host, u.path, u.rule) == (host, path, rule.text if rule else None)
         assert u.verdict == rule.verdict if rule else u.verdict == ("block" if u.score > 0 else "allow")
+
+
+def every_split(label, cost):
+    """Least-cost split of a label, over all of them."""
+    best = None
+    for cuts in itertools.product((0, 1), repeat=len(label) - 1):
+        words, start = [], 0
+        for i, cut in enumerate(cuts, 1):
+            if cut:
+                words.append(label[start:i])
+                start = i
+        words.append(label[start:])
+        score = sum(map(cost, words))
+        if best is None or score > best[0] + 1e-12:
+            best = (score, words)
+    return best
+
+
+def test_splits_are_the_likeliest_of_all(spark):
+    rng = random.Random(3)
+    counts = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 5))): rng.randint(1, 30) for _ in range(12)}
+    total = sum(counts.values())
+    unknown = math.log(1 / (total + 1)) + math.log(0.1)
+
+    def cost(word):
+        return math.log(counts[word] / total) if word in counts else unknown + (len(word) - 1) * math.log(0.1)
+
+    labels = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 10))) for _ in range(60)})
+    got = url_words.segment(spark.createDataFrame([(x,) for x in labels], "label string"), spark.createDataFrame(list(counts.items()), "word string, n long"))
+    for r in got.collect():
+        assert "".join(r["words"]) == r["label"]
+        assert sum(map(cost, r["words"])) == pytest.approx(every_split(r["label"], cost)[0])
+
+
+def test_words_and_labels_of_any_length(spark):
+    word = "donaudampfschifffahrtsgesellschaft"
+    counts = spark.createDataFrame([(word, 3), ("news", 5), ("x" * 50_000, 1)], "word string, n long")
+    labels = spark.createDataFrame([(word + "news",), ("news" * 5_000,), ("q" * 3_000 + "news",), ("é",)], "label string")
+    got = {r["label"]: r["words"] for r in url_words.segment(labels, counts).collect()}
+    assert got == {word + "news": [word, "news"], "news" * 5_000: ["news"] * 5_000, "q" * 3_000 + "news": ["q" * 3_000, "news"], "é": ["é"]}
+    assert [r["words"] for r in url_words.segment(labels, counts.where("false")).collect() if r["label"] == "é"] == [["é"]]
+
+
+def test_verdicts_are_those_of_naive_bayes(spark, stage):
+    html = "<style>p {color: hot}</style><script>hot hot</script><p>hot deals news daily</p>"
+    urls = ["http://hotdeals.net/es/x", "http://hotnews.net/fr/x", "http://dailynews.com/", "http://news.com/a/9", "http://hotdeals.org/x", "http://dailynews.org/a/10", "x", None]
+    got = url_words.judge(spark.createDataFrame([(i, u, html) for i, u in enumerate(urls)], "page_id long, url string, html string"), stage)
+    tokens = [
+        ["h hot", "h deals", "h net", "p es", "p x"], ["h hot", "h news", "h net", "p fr", "p x"], ["h daily", "h news", "h com"], ["h news", "h com", "p a", "p 0"],
+        ["h hot", "h deals", "h org", "p x"], ["h daily", "h news", "h org", "p a", "p 0"], [], [],
+    ]
+    block, allow = Counter(tokens[0] + tokens[1]), Counter(tokens[2] + tokens[3])
+    known = set(block) | set(allow)
+    norm = math.log((sum(allow.values()) + len(known) + 1) / (sum(block.values()) + len(known) + 1))
+    for r in got.collect():
+        want = sum(math.log((block[t] + 1) / (allow[t] + 1)) + norm for t in tokens[r["page_id"]] if t in known)
+        assert r["score"] == pytest.approx(want)
+        assert r["verdict"] == {0: "block", 1: "block", 2: "allow", 3: "allow"}.get(r["page_id"], "block" if want > 0 else "allow")
