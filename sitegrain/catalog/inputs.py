@@ -40,11 +40,12 @@ def by_turn(key: str, *options: Column | str) -> Column:
 def site(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A linked site with one page per row of ``pages``: ``page_id, url, html``.
 
-    Page i links to three others by arithmetic on i; some targets do not exist, some
-    are written with a trailing slash. Some pages are blank and some are placeholders.
+    Page i links to three others by arithmetic on i, in front of the row's own html; some
+    targets do not exist, some are written with a trailing slash. Some pages are blank,
+    some are placeholders without or with a body, the latter being too long to be dropped.
     """
-    pages = table(spark, sf_dir, "pages").select("page_id")
-    n = pages.count()
+    pages = pages_for_parsing(spark, sf_dir).select("page_id", "html")
+    n = table(spark, sf_dir, "pages").count()
     i = F.col("page_id")
 
     def link(target: Column, slash: Column | str = "") -> Column:
@@ -58,8 +59,9 @@ def site(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     html = (
         F.when(i % 17 == 3, "")
-        .when(i % 13 == 5, F.concat(F.lit("404 Not Found "), anchors))
-        .otherwise(F.concat(F.lit("<html><body>"), anchors, F.lit("</body></html>")))
+        .when(i % 26 == 5, F.concat(F.lit("404 Not Found "), anchors))
+        .when(i % 26 == 18, F.concat(F.lit("404 Not Found "), anchors, "html"))
+        .otherwise(F.concat(anchors, "html"))
     )
     return pages.select(
         "page_id", F.concat(F.lit("http://g.example.com/p"), i.cast("string")).alias("url"), html.alias("html")

@@ -81,24 +81,29 @@ def completed(page: str, l: str) -> str:
         ELSE {folder} || {l} END"""
 
 
-ANCHORS = """(SELECT DISTINCT page_id, url, link FROM
-    (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages)
+def anchors_of(pages: str) -> str:
+    return f"""(SELECT DISTINCT page_id, url, link FROM
+    (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM {pages})
     WHERE link NOT IN ('/', '*'))"""
 
-RAW_LINKS = f"""(SELECT page_id, url, link FROM {ANCHORS}
-    UNION SELECT page_id, url, unnest(regexp_extract_all(html, '{ADDRESS}')) FROM pages)"""
 
-PAGE_LINKS = f"""(SELECT DISTINCT page_id, url, {completed('url', 'link')} AS link FROM {RAW_LINKS}
+def page_links_of(pages: str) -> str:
+    raw = f"""(SELECT page_id, url, link FROM {anchors_of(pages)}
+    UNION SELECT page_id, url, unnest(regexp_extract_all(html, '{ADDRESS}')) FROM {pages})"""
+    return f"""(SELECT DISTINCT page_id, url, {completed('url', 'link')} AS link FROM {raw}
     WHERE {is_page_link('link')})"""
 
 
-def scoped(level: int) -> str:
+ANCHORS, PAGE_LINKS = anchors_of("pages"), page_links_of("pages")
+
+
+def scoped(level: int, links: str = PAGE_LINKS) -> str:
     test = {
         0: f"{host('link')} = {host('url')}",
         1: f"{domain('(' + host('link') + ')')} = {domain('(' + host('url') + ')')}",
         2: "true",
     }[level]
-    return f"SELECT page_id, link FROM {PAGE_LINKS} WHERE {test}"
+    return f"SELECT page_id, link FROM {links} WHERE {test}"
 
 
 # --- derived inputs ----------------------------------------------------------------------
@@ -167,16 +172,20 @@ PAGE_RESULTS = f"""(SELECT {domain('(' + host('url') + ')')} AS task, url, md5(c
     page_id FROM pages)"""
 
 # The linked site: its pages g, its links e, and the walk w with the smallest depth per key.
-SITE = """n AS (SELECT count(*) AS n FROM pages),
-  g AS (SELECT page_id AS i, 'http://g.example.com/p' || page_id AS url,
-        'http://g.example.com:80/p' || page_id || '/' AS k,
-        CASE WHEN page_id % 17 = 3 THEN 'blank' WHEN page_id % 13 = 5 THEN 'useless' ELSE 'kept' END AS state,
-        '<a href="/p' || ((page_id * 3 + 1) % n) || '">x</a><a href="/p' || ((page_id * 7 + 2) % (n + n // 5))
-          || '">x</a><a href="/p' || (page_id // 2) || CASE WHEN page_id % 3 = 0 THEN '/' ELSE '' END || '">x</a>' AS anchors
+USELESS = " OR ".join("contains(html, '" + p.replace("'", "''") + "')" for p in USELESS_PHRASES)
+
+SITE = f"""n AS (SELECT count(*) AS n FROM pages),
+  o AS (SELECT page_id, 'http://g.example.com/p' || page_id AS url, CASE WHEN page_id % 17 = 3 THEN ''
+          ELSE CASE WHEN page_id % 13 = 5 THEN '404 Not Found ' ELSE '' END
+          || '<a href="/p' || ((page_id * 3 + 1) % n) || '">x</a><a href="/p' || ((page_id * 7 + 2) % (n + n // 5))
+          || '">x</a><a href="/p' || (page_id // 2) || CASE WHEN page_id % 3 = 0 THEN '/' ELSE '' END || '">x</a>'
+          || CASE WHEN page_id % 26 = 5 THEN '' ELSE html END END AS html
         FROM pages, n),
-  e AS (SELECT DISTINCT k, state, 'http://g.example.com' || link AS url,
-        'http://g.example.com:80/' || trim(link, '/') || '/' AS dst
-        FROM (SELECT k, state, unnest(regexp_extract_all(anchors, 'href="([^"]*)"', 1)) AS link FROM g))"""
+  g AS MATERIALIZED (SELECT page_id AS i, url, 'http://g.example.com:80/p' || page_id || '/' AS k, html,
+        CASE WHEN html = '' THEN 'blank' WHEN length(html) < 1000 AND ({USELESS}) THEN 'useless' ELSE 'kept' END AS state
+        FROM o),
+  e AS MATERIALIZED (SELECT DISTINCT g.k, g.state, x.link AS url, x.p_key AS dst
+        FROM {parts('(SELECT page_id, link FROM (' + scoped(0, page_links_of('o')) + '))', 'link')} x JOIN g ON g.i = x.page_id)"""
 
 
 def walk(max_depth: int) -> str:
@@ -217,8 +226,6 @@ VERSIONED = """(SELECT user_id, min(value) AS low, coalesce(nullif(count(*) % 4,
 EVENT_RESULT = """cast(user_id AS VARCHAR) AS task, event_type AS url,
     cast(event_id AS VARCHAR) AS ref_content_id, ts AS update_time"""
 
-USELESS = " OR ".join("contains(html, '" + p.replace("'", "''") + "')" for p in USELESS_PHRASES)
-
 ORACLES: dict[str, str] = {
     # sources
     "seed_validate": f"""SELECT url FROM (SELECT unnest([h, '.' || string_split(h, '.')[1], string_split(h, '.')[1]]) AS url
@@ -305,11 +312,11 @@ ORACLES: dict[str, str] = {
     "crawl_depth2": walk(2) + "SELECT task, url_key, depth, outcome FROM v",
     "crawl_outcomes": walk(2) + """SELECT depth, outcome, count(*) AS n FROM v GROUP BY ALL
         UNION ALL SELECT depth, 'duplicate', cast(sum(dup) AS BIGINT) FROM a GROUP BY depth HAVING sum(dup) > 0""",
-    "crawl_results": walk(1) + """SELECT v.task, first_url.url, md5('<html><body>' || g.anchors || '</body></html>') AS body_md5
+    "crawl_results": walk(1) + """SELECT v.task, first_url.url, md5(g.html) AS body_md5
         """ + KEPT,
-    "crawl_tasks": walk(1) + """SELECT s.store, url, CASE s.store WHEN 'urls' THEN 0 ELSE length(anchors) + s.extra END AS chars
-        FROM (SELECT seed.i % 3 AS turn, first_url.url, g.anchors """ + KEPT.replace("JOIN (", "JOIN g seed ON seed.url = v.task JOIN (", 1) + """) k
-        JOIN (VALUES ('saved', 0, 26), ('news', 1, 20), ('urls', 1, 0)) s(store, turn, extra) ON s.turn = k.turn""",
+    "crawl_tasks": walk(1) + """SELECT s.store, url, CASE s.store WHEN 'urls' THEN 0 WHEN 'news' THEN length(replace(html, '</a>', '')) ELSE length(html) END AS chars
+        FROM (SELECT seed.i % 3 AS turn, first_url.url, g.html """ + KEPT.replace("JOIN (", "JOIN g seed ON seed.url = v.task JOIN (", 1) + """) k
+        JOIN (VALUES ('saved', 0), ('news', 1), ('urls', 1)) s(store, turn) ON s.turn = k.turn""",
     "crawl_stats": walk(2) + f"""SELECT v.task, {STATS.replace('state', 'v.state')} + any_value(d.dup) AS useless_with_duplicates
         FROM v JOIN (SELECT task, cast(sum(dup) AS BIGINT) AS dup FROM a GROUP BY 1) d ON d.task = v.task GROUP BY v.task""",
     "crawl_stats_total": walk(2) + f"""SELECT {STATS} + (SELECT cast(sum(dup) AS BIGINT) FROM a) AS useless_with_duplicates,

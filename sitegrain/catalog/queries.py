@@ -374,7 +374,7 @@ def crawl_tasks(spark, d):
     registry.register("spider")
     registry.register(
         "news",
-        hook=lambda t: F.replace(t, F.lit("<html>"), F.lit("")),
+        hook=lambda t: F.replace(t, F.lit("</a>"), F.lit("")),
         sinks={
             "bodies": lambda b: b.write.parquet(f"{folder}/bodies"),
             "urls": lambda b: b.select("task", "url").write.parquet(f"{folder}/urls"),

@@ -21,12 +21,6 @@ def page_index(pages: DataFrame, url: str = "url", *extra: str) -> DataFrame:
     )
 
 
-def graph_index(graph: DataFrame) -> DataFrame:
-    """``page_index`` of a page graph, which has the keys already."""
-    page = F.min(F.struct(F.col("url").alias("page_url"), "page_state"))
-    return graph.groupBy("url_key").agg(page.alias("p")).select("url_key", "p.*")
-
-
 def fetch(frontier: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
     """Frontier rows with ``page_url`` and ``outcome``: ``success`` where the snapshot
     has the key, else ``failed``; ``invalid`` for URLs that have no key."""

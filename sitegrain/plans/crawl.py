@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sitegrain.constants import TASK_DEFAULTS, USELESS_MAX_CHARS, USELESS_PHRASES
 from sitegrain.functions import urls as U
-from sitegrain.operators.fetch import drop_denied, first_per_key, graph_index
+from sitegrain.operators.fetch import drop_denied, first_per_key
 from sitegrain.operators.links import LEVELS, check_level, page_links
 from sitegrain.operators.quality import apply_hook, is_blank, is_useless
 from sitegrain.operators.redirects import follow_redirects
@@ -51,6 +51,10 @@ class Crawl:
         joined = self._kept.select("task_id", "task", "url", "page_url").join(bodies, "page_url").drop("page_url")
         return apply_hook(joined, self._hook)
 
+    def keep(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+        """Write a table beside those of the walk; ``release`` drops it with them."""
+        return self._staging.write(df, name, *partition_by)
+
     def release(self) -> None:
         self._staging.release()
 
@@ -130,6 +134,7 @@ def crawl(
     redirects: bool = False,
     keep_port: bool = False,
     strict_resolve: bool = False,
+    buckets: int | None = None,
 ) -> Crawl:
     """Walk breadth-first from every seed to link depth ``max_depth``.
 
@@ -137,13 +142,16 @@ def crawl(
     per-seed limits override the arguments. ``pages(url, html)`` with unique URLs is
     the snapshot that stands for the network.
 
-    Links are extracted once into a staged graph. A round then moves narrow rows:
-    it takes the first URL per ``task_id, url_key``, leaves out keys of earlier rounds,
-    looks the rest up in the page index, and expands the kept pages through the graph.
-    Each round is staged, so a lost executor costs one round at most, and its size is
-    known to the planner. Joins on ``url_key`` are left to adaptive execution, which
-    broadcasts a small side and splits a key that many tasks visit at once. The driver
-    only learns whether a round is empty.
+    Links are extracted once into a table of pages laid out by ``url_key``; visited keys
+    are a second table, laid out by ``task_id, url_key``, to which each round appends.
+    Neither is ever moved: a round shuffles its own narrow rows. It takes the first URL
+    per ``task_id, url_key``, leaves out visited ones, looks its distinct keys up in the
+    page table, and expands the kept pages by the links that came with them. Many tasks
+    at one page are one key in that lookup; what was found joins their rows under adaptive
+    execution, which broadcasts it when small and splits the hot key when not. Each round
+    is staged, so a lost executor costs one round at most. ``buckets`` is the number of
+    parts of both tables (``spark.sql.shuffle.partitions`` unless given). The driver only
+    learns whether a round is empty.
     """
     check_level(level)
     staging = Staging(seeds.sparkSession, "crawl")
@@ -151,20 +159,26 @@ def crawl(
         pages = staging.write(follow_redirects(pages.select("url", "html")), "pages")
     denied = {"domains": deny_domains, "hosts": deny_hosts, "urls": deny_urls}
 
-    graph = staging.write(page_graph(pages, phrases, max_chars, keep_port, strict_resolve), "graph")
-    index = staging.write(graph_index(graph), "index")
+    buckets = buckets or int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    graph = page_graph(pages, phrases, max_chars, keep_port, strict_resolve)
+    snapshot = staging.append_buckets(leading_pages(graph, buckets), "snapshot", buckets, "url_key")
     frontier = _seed_frontier(seeds, max_depth, level)
     deepest = _deepest(seeds, max_depth)
 
     rounds: list[DataFrame] = []
+    visited = reached = None
     for depth in range(deepest + 1):
         if rounds:
             if rounds[-1].isEmpty():
                 break
-            frontier = _expand(rounds[-1], graph, depth)
+            frontier = _expand(rounds[-1], reached, depth)
         # Staged, because a round reads it twice and the expansion is the dear part.
         frontier = staging.write(drop_denied(frontier, **denied), f"frontier-{depth}")
-        rounds.append(staging.write(_visit(frontier, rounds, index, depth), f"round-{depth}"))
+        arrivals = _arrivals(frontier, visited).withColumn("depth", F.lit(depth))
+        visited = staging.append_buckets(arrivals, "visited", buckets, "task_id", "url_key")
+        heads = visited.filter(F.col("depth") == depth).drop("depth")
+        reached = staging.write(_reach(heads, snapshot), f"reached-{depth}")
+        rounds.append(staging.write(_visit(frontier, heads, reached, depth), f"round-{depth}"))
 
     columns = VISITS.fieldNames()
     empty = seeds.sparkSession.createDataFrame([], VISITS)
@@ -172,25 +186,39 @@ def crawl(
     return Crawl(visits, pages, hook, staging)
 
 
-def _visit(frontier: DataFrame, rounds: list[DataFrame], index: DataFrame, depth: int) -> DataFrame:
+def leading_pages(graph: DataFrame, parts: int) -> DataFrame:
+    """One row per key of a page graph, that of its smallest URL: ``url_key, page_url,
+    page_state, links``, hashed by key into ``parts`` in one shuffle."""
+    page = F.struct(F.col("url").alias("page_url"), "page_state", "links")
+    lead = F.min_by(page, F.struct("url", "page_state"))
+    return graph.repartition(parts, "url_key").groupBy("url_key").agg(lead.alias("p")).select("url_key", "p.*")
+
+
+def _arrivals(frontier: DataFrame, visited: DataFrame | None) -> DataFrame:
+    """``task_id, url_key, first_url`` of the valid keys not visited before.
+
+    The smallest URL stands for the key. It is found by an aggregate and joined back, so
+    no task has to hold all spellings of a key.
+    """
+    heads = first_per_key(frontier.filter(F.col("url_key").isNotNull()), "task_id").withColumnRenamed("url", "first_url")
+    return heads if visited is None else heads.join(visited, ["task_id", "url_key"], "left_anti")
+
+
+def _reach(heads: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Pages of the snapshot under the keys of a round, each once."""
+    return snapshot.join(heads.select("url_key").distinct(), "url_key", "left_semi")
+
+
+def _visit(frontier: DataFrame, heads: DataFrame, reached: DataFrame, depth: int) -> DataFrame:
     """Outcome of every frontier URL of a round.
 
-    The smallest URL of each ``task_id, url_key`` stands for the key. It is found by an
-    aggregate and joined back, so no task has to hold all spellings of a key. A URL
-    without a key takes part under a name of its own that matches nothing: as nulls
+    A URL without a key takes part under a name of its own that matches nothing: as nulls
     such rows would all meet in one partition.
     """
     keyed = frontier.withColumnRenamed("url_key", "valid_key").withColumn(
         "url_key", F.coalesce("valid_key", F.concat(F.lit("invalid:"), "url"))
     )
-    heads = first_per_key(keyed, "task_id").withColumnRenamed("url", "first_url")
-    if rounds:
-        seen = reduce(
-            DataFrame.unionByName,
-            [r.filter(F.col("outcome").isin("success", "failed")).select("task_id", "url_key") for r in rounds],
-        )
-        heads = heads.join(seen, ["task_id", "url_key"], "left_anti")
-    heads = heads.join(index, "url_key", "left")
+    heads = heads.join(reached.select("url_key", "page_url", "page_state"), "url_key", "left")
     outcome = (
         F.when(F.col("valid_key").isNull(), "invalid")
         .when(F.col("first_url").isNull() | (F.col("first_url") != F.col("url")), "duplicate")
@@ -216,14 +244,14 @@ def _visit(frontier: DataFrame, rounds: list[DataFrame], index: DataFrame, depth
     )
 
 
-def _expand(done: DataFrame, graph: DataFrame, depth: int) -> DataFrame:
+def _expand(done: DataFrame, reached: DataFrame, depth: int) -> DataFrame:
     """Distinct links of the kept pages of a round, inside each task's level and depth."""
     sources = done.filter((F.col("page_state") == "kept") & (F.col("max_depth") >= depth)).select(
-        "task_id", "task", "page_url", "level", "max_depth"
+        "task_id", "task", "url_key", "level", "max_depth"
     )
-    links = graph.select(F.col("url").alias("page_url"), "links").filter(F.size("links") > 0)
+    links = reached.filter(F.size("links") > 0).select("url_key", "links")
     return (
-        sources.join(links, "page_url")
+        sources.join(links, "url_key")
         .select("task_id", "task", "level", "max_depth", F.explode("links").alias("l"))
         .filter(F.col("l.scope") <= F.col("level"))
         .select(

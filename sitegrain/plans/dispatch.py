@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.operators.export import save_pages
 from sitegrain.operators.links import LEVELS
-from sitegrain.operators.quality import apply_hook
-from sitegrain.operators.routing import Registry, route_tasks, run_sinks
+from sitegrain.operators.routing import Registry, route_tasks
 from sitegrain.plans.crawl import Crawl, crawl, task_id
 
 
@@ -33,15 +32,30 @@ def crawl_tasks(
     """Walk all tasks of a resolved task table at once, then hand every handler the kept
     pages of its own tasks: its hook first, then its sinks in name order. Pages of a
     handler without sinks are saved under ``output`` when that is given.
+
+    Bodies are joined once for all handlers and written by handler, with the hooks applied; every
+    sink reads its handler's part. A task of several handlers comes to each of them. The
+    walk's ``release`` deletes that table too.
     """
     routed = route_tasks(tasks, registry.table(tasks.sparkSession)).filter(F.col("known") & _runnable())
     walk = crawl(routed.select("url", "level", "max_depth"), pages, **options)
-    for name in registry.names():
-        handler = registry[name]
-        own = routed.filter(F.col("spider") == name).select(task_id(F.col("url"), F.col("level"), F.col("max_depth")).alias("task_id"))
-        kept = apply_hook(walk.results.join(own, "task_id", "left_semi"), handler.hook)
-        if handler.sinks:
-            run_sinks(kept, handler.sinks)
-        elif output:
-            save_pages(kept, output, naming)
+    names = [n for n in registry.names() if registry[n].sinks or output]
+    if not names:
+        return walk
+    owners = routed.filter(F.col("spider").isin(names)).select(
+        task_id(F.col("url"), F.col("level"), F.col("max_depth")).alias("task_id"), "spider"
+    )
+    text = F.col("page_text")
+    for name in names:
+        if registry[name].hook:
+            text = F.when(F.col("spider") == name, registry[name].hook(F.col("page_text"))).otherwise(text)
+    kept = walk.results.join(owners.distinct(), "task_id").withColumn("page_text", text)
+    parts = walk.keep(kept, "bodies", "spider")
+    for name in names:
+        own = parts.filter(F.col("spider") == name).drop("spider")
+        if registry[name].sinks:
+            for _, sink in sorted(registry[name].sinks.items()):
+                sink(own)
+        else:
+            save_pages(own, output, naming)
     return walk

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sitegrain.operators import fetch
+from sitegrain.operators import fetch, routing
 from sitegrain.plans.crawl import crawl, crawl_stats, fetch_log_lines, write_visits
+from sitegrain.plans.dispatch import crawl_tasks
 from sitegrain.sources import seeds
 
 ROOT = "http://h.com"
@@ -180,3 +181,21 @@ def test_one_url_under_two_limits_is_two_walks(spark):
     assert sorted(r.url for r in walk.results.collect()) == ["http://a.com/", "http://a.com/", "http://a.com/b"]
     stats = crawl_stats(walk.visits).collect()
     assert sorted((r.task, r.downloads) for r in stats) == [("http://a.com/", 1), ("http://a.com/", 2)]
+
+
+def test_handlers_share_one_table_of_bodies(spark, pages, tmp_path):
+    registry, seen = routing.Registry(), []
+    registry.register("spider")
+    registry.register("a", hook=lambda t: F.upper(t), sinks={"2": lambda b: seen.append(("a2", b.columns, b.collect())), "1": lambda b: seen.append(("a1", b.columns, b.collect()))})
+    registry.register("b", sinks={"1": lambda b: seen.append(("b1", b.columns, b.collect()))})
+    rows = [(ROOT, 0, 0, "a"), (ROOT, 0, 0, "b"), (ROOT + "/c", 0, 0, "a"), (ROOT + "/e", 0, 0, ""), (ROOT + "/d", 0, 0, "none")]
+    tasks = spark.createDataFrame(rows, "url string, level int, max_depth int, spider string")
+    walk = crawl_tasks(tasks, pages, registry, str(tmp_path / "saved"))
+    assert [name for name, _, _ in seen] == ["a1", "a2", "b1"]
+    assert all(columns == ["task_id", "task", "url", "page_text"] for _, columns, _ in seen)
+    text = dict(GRAPH)
+    got = {name: {r.url: r.page_text for r in found} for name, _, found in seen}
+    assert got["a1"] == got["a2"] == {ROOT: text[ROOT + "/"].upper(), ROOT + "/c": text[ROOT + "/c"].upper()}
+    assert got["b1"] == {ROOT: text[ROOT + "/"]}
+    assert [r.url for r in spark.read.parquet(str(tmp_path / "saved")).collect()] == [ROOT + "/e"]
+    walk.release()

@@ -6,6 +6,7 @@ from types import SimpleNamespace
 import pytest
 
 from sitegrain.operators import fetch, links, patterns, redirects, search, urls
+from sitegrain.plans import crawl
 from sitegrain.plans.crawl import page_graph
 from sitegrain.plans.staging import Staging, staging_root
 
@@ -67,6 +68,29 @@ def test_frontier_is_shuffled_once(spark, plan):
     assert "LeftAnti" in text and text.count("Exchange (") == 2
 
 
+def test_a_round_moves_neither_pages_nor_visited_keys(spark, pages, plan):
+    staging = Staging(spark, "layout")
+    snapshot = staging.append_buckets(crawl.leading_pages(page_graph(pages), 8), "snapshot", 8, "url_key")
+    keys = "task_id string, url_key string, first_url string, depth int"
+    visited = staging.append_buckets(spark.createDataFrame([("t", "k", "u", 0)], keys), "visited", 8, "task_id", "url_key")
+    visited = staging.append_buckets(spark.createDataFrame([("t", "l", "v", 1)], keys), "visited", 8, "task_id", "url_key")
+    assert visited.count() == 2 and snapshot.count() == pages.count()
+    frontier = spark.createDataFrame([("t", "u", "k"), ("t", "w", "m"), ("t", "x", None)], "task_id string, url string, url_key string")
+    frontier = staging.write(frontier, "frontier")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        arrivals, reached = crawl._arrivals(frontier, visited), crawl._reach(visited, snapshot)
+        # One exchange each: of the frontier, and of the round's distinct keys.
+        for df in (arrivals, reached):
+            assert plan(df).count("Exchange (") == 1 and "Bucketed: true" in plan(df)
+        assert {tuple(r) for r in arrivals.collect()} == {("t", "m", "w")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    known = set(staging._tables)
+    staging.release()
+    assert len(known) == 2 and not any(spark.catalog.tableExists(t) for t in known)
+
+
 def test_phrases_are_met_by_joins_alone(spark, pages, plan):
     phrases = spark.createDataFrame([("x",), ("one whole word",)], "pattern string")
     text = plan(patterns.match_patterns(pages, phrases, "page_id", "html"))
