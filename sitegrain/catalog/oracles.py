@@ -246,6 +246,11 @@ ORACLES: dict[str, str] = {
     "task_route": """SELECT spider, spider IN ('spider', 'click', 'view') AS known, count(*) AS n
         FROM (SELECT CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'spider' END AS spider FROM events) GROUP BY ALL""",
     "fetch_outcomes": f"SELECT task, url, url_key, outcome FROM {FETCHED}",
+    "fetch_bodies": f"""SELECT f.task, f.url, CASE WHEN f.p_key IS NULL THEN 'invalid' WHEN p.p_key IS NULL THEN 'failed'
+            ELSE 'success' END AS outcome, md5(p.html) AS text_md5,
+            CASE WHEN page_id % 2 = 1 AND html <> '' THEN 2 + 2 * length(html) ELSE octet_length(encode(html)) END AS n_bytes
+        FROM {parts(FRONTIER)} f LEFT JOIN (SELECT p_key, arg_min(page_id, url) AS page_id, arg_min(html, url) AS html
+            FROM {parts('pages')} GROUP BY p_key) p USING (p_key)""",
     "fetch_log_parse": f"""SELECT CASE WHEN outcome = 'success' THEN 'Success' ELSE 'Failed' END AS outcome,
         count(*) AS n, count(DISTINCT url) AS urls FROM {FETCHED} GROUP BY 1""",
     # URL reports
@@ -400,7 +405,8 @@ ORACLES: dict[str, str] = {
     "stream_upsert": EVENT_LATEST,
     "stream_stats": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "stream_links": scoped(0),
-    "stream_sinks": """SELECT url, CASE WHEN length(t) > 255 THEN md5(t) ELSE t END AS final_name
-        FROM (SELECT url, translate(url, '/:*?', '{}[^') AS t FROM pages)""",
+    "stream_sinks": """SELECT url, CASE WHEN length(t) > 255 THEN md5(t) ELSE t END AS final_name, NULL::BIGINT AS page_id
+        FROM (SELECT url, translate(url, '/:*?', '{}[^') AS t FROM pages) UNION ALL SELECT NULL, NULL, page_id FROM pages""",
 }
 ORACLES["text_urls"] = f"SELECT id, url FROM ({ORACLES['text_urls']})"
+ORACLES["crawl_bytes"] = ORACLES["crawl_results"]

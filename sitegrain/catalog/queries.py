@@ -352,6 +352,27 @@ def crawl_results(spark, d):
     return _walk(spark, d, 1).results.select("task", "url", F.md5("page_text").alias("body_md5"))
 
 
+def _bytes():
+    """A body as bytes, in UTF-8 or in UTF-16 with its mark; an empty one has none."""
+    wide = (F.length("html") > 0) & (F.col("page_id") % 2 == 1)
+    return F.when(wide, F.encode("html", "UTF-16")).otherwise(F.encode("html", "UTF-8"))
+
+
+@query
+def crawl_bytes(spark, d):
+    """A walk over pages that are bytes."""
+    site = I.site(spark, d)
+    pages = site.select("url", _bytes().alias("html"))
+    return crawl(site.select("url"), pages, max_depth=1).results.select("task", "url", F.md5("page_text").alias("body_md5"))
+
+
+@query
+def fetch_bodies(spark, d):
+    pages = pages_for_parsing(spark, d).select("page_id", "url", "html")
+    fetched = fetch.fetch(_frontier(spark, d), pages.select("url", _bytes().alias("html")), body="html")
+    return fetched.select("task", "url", "outcome", F.length("body").cast("bigint").alias("n_bytes"), F.md5("page_text").alias("text_md5"))
+
+
 @query
 def crawl_pages(spark, d):
     pages = pages_for_parsing(spark, d).select("url", "html")
@@ -757,4 +778,7 @@ def stream_sinks(spark, d):
         "names": lambda b: export.page_file_names(b).write.mode("append").parquet(f"{folder}/names"),
     }
     jobs.run_sinks_per_batch(_stream(spark, d, "pages"), sinks, f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/names").select("url", "final_name")
+    names, ids = spark.read.parquet(f"{folder}/names"), spark.read.parquet(f"{folder}/ids")
+    return names.select("url", "final_name", F.lit(None).cast("bigint").alias("page_id")).unionByName(
+        ids.select(F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("final_name"), "page_id")
+    )

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitegrain.constants import TASK_DEFAULTS
 from sitegrain.functions import urls as U
 from sitegrain.functions.text import base64_name, escaped_name, file_name
 from sitegrain.operators.quality import drop_blank_pages
@@ -44,13 +47,16 @@ def export_pages(
 
 
 def first_page(results: DataFrame, contents: DataFrame, task: str | None = None, url: str | None = None) -> DataFrame:
-    """What an export without a target prints: the newest selected page that has content."""
-    return (
-        attach_contents(find_results(results, task, url), contents)
+    """What an export without a target prints: the newest selected page that has content.
+    It is found on narrow rows; one body is read."""
+    stored = contents.select(F.col("content_id").alias("ref_content_id"))
+    found = (
+        find_results(results.select("task", "url", "ref_content_id", "update_time"), task, url)
+        .join(stored, "ref_content_id", "left_semi")
         .orderBy(F.desc("update_time"), F.desc("ref_content_id"))
         .limit(1)
-        .select("task", "url", F.decode("content", "UTF-8").alias("page_text"))
     )
+    return attach_contents(found, contents).limit(1).select("task", "url", F.decode("content", "UTF-8").alias("page_text"))
 
 
 def page_file_names(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -64,23 +70,40 @@ def page_file_names(pages: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def write_by_host(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Write rows under one folder per host.
+def write_by_host(rows: DataFrame, path: str, mode: str = "append", above: Sequence[str] = ()) -> None:
+    """Write rows under one folder per host, itself under a folder per value of ``above``.
 
     The rebalance hint gathers a host into few files, and lets Spark split a host
     that holds much of the data over several tasks.
     """
-    rows.hint("rebalance", F.col("host")).write.mode(mode).partitionBy("host").parquet(path)
+    folders = [*above, "host"]
+    rows.hint("rebalance", *[F.col(c) for c in folders]).write.mode(mode).partitionBy(*folders).parquet(path)
 
 
 def save_pages(
-    pages: DataFrame, path: str, naming: str = "escaped", url: str = "url", text: str = "page_text"
+    pages: DataFrame,
+    path: str,
+    naming: str = "escaped",
+    url: str = "url",
+    text: str = "page_text",
+    bs64: str | None = None,
+    base_output_dir: str | None = None,
 ) -> None:
-    """Write non-empty pages under their host as ``file_name, url, page_text``."""
+    """Write non-empty pages under their host as ``file_name, url, page_text``.
+
+    ``bs64`` and ``base_output_dir`` name columns with the options of a page's task: whether its
+    name is in base64, and the folder above the hosts (null: the default of a task)."""
+    name = file_name(F.col(url), naming)
+    if bs64:
+        name = F.when(F.col(bs64), file_name(F.col(url), "base64")).otherwise(name)
+    folder = []
+    if base_output_dir:
+        folder = [F.coalesce(F.col(base_output_dir), F.lit(TASK_DEFAULTS["base_output_dir"])).alias("base_output_dir")]
     rows = drop_blank_pages(pages, text).select(
+        *folder,
         U.host_of(F.col(url)).alias("host"),
-        file_name(F.col(url), naming).alias("file_name"),
+        name.alias("file_name"),
         F.col(url).alias("url"),
         F.col(text).alias("page_text"),
     )
-    write_by_host(rows, path)
+    write_by_host(rows, path, above=["base_output_dir"] if folder else [])

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitegrain.functions import urls as U
+from sitegrain.operators.quality import decode_pages
 
 
 def page_index(pages: DataFrame, url: str = "url", *extra: str) -> DataFrame:
@@ -21,9 +23,23 @@ def page_index(pages: DataFrame, url: str = "url", *extra: str) -> DataFrame:
     )
 
 
-def fetch(frontier: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
+def fetch(frontier: DataFrame, pages: DataFrame, url: str = "url", body: str | None = None) -> DataFrame:
     """Frontier rows with ``page_url`` and ``outcome``: ``success`` where the snapshot
-    has the key, else ``failed``; ``invalid`` for URLs that have no key."""
+    has the key, else ``failed``; ``invalid`` for URLs that have no key.
+
+    ``body`` names the column of ``pages`` that comes along as ``body``, text or bytes, with
+    ``page_text``, the same decoded; null where nothing was fetched. Keys meet first, bodies last.
+    """
+    if body is not None:
+        found = fetch(frontier, pages.select(F.col("url")), url)
+        bodies = pages.select(F.col("url").alias("page_url"), F.col(body).alias("body"))
+        if isinstance(bodies.schema["body"].dataType, T.BinaryType):
+            bodies = decode_pages(bodies, "body", "page_text")
+        else:
+            bodies = bodies.withColumn("page_text", F.col("body"))
+        # Rows that found no page join under their own text, as above.
+        own = F.coalesce("page_url", F.concat(F.lit("none:"), F.col(url)))
+        return found.join(bodies.withColumnRenamed("page_url", "_page"), own == F.col("_page"), "left").drop("_page")
     keyed = frontier.withColumn("url_key", U.url_key(F.col(url)))
     # Rows without a key join under their own text, which matches nothing: as nulls they
     # would all land in one partition.

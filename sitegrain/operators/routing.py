@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrain.constants import DEFAULT_SPIDER
 from sitegrain.errors import DuplicateNameError
+from sitegrain.plans.staging import Staging
 
 Hook = Callable[[Column], Column]
 Sink = Callable[[DataFrame], None]
@@ -27,12 +27,27 @@ class Registry:
 
     def __init__(self) -> None:
         self._handlers: dict[str, Handler] = {}
+        self._shared: list[tuple[str, Sink, frozenset[str] | None]] = []
 
     def register(self, name: str, hook: Hook | None = None, sinks: Mapping[str, Sink] | None = None) -> None:
         if name in self._handlers:
             raise DuplicateNameError(name)
         self._handlers[name] = Handler(hook, dict(sinks or {}))
 
+    def add_sink(self, name: str, sink: Sink, handlers: Iterable[str] | None = None) -> None:
+        """A sink of several handlers, or of every one, those registered later included."""
+        self._shared.append((name, sink, None if handlers is None else frozenset(handlers)))
+
+    def sinks_of(self, handler: str) -> dict[str, Sink]:
+        """All sinks of a handler by name, in name order."""
+        sinks = dict(self._handlers[handler].sinks)
+        for name, sink, handlers in self._shared:
+            if handlers is None or handler in handlers:
+                if name in sinks:
+                    raise DuplicateNameError(name)
+                sinks[name] = sink
+        return dict(sorted(sinks.items()))
+
     def __getitem__(self, name: str) -> Handler:
         return self._handlers[name]
 
@@ -68,15 +83,18 @@ def result_batches(results: DataFrame) -> DataFrame:
     return results.select("task", F.create_map("url", "page_text").alias("results"))
 
 
-def run_sinks(batch: DataFrame, sinks: Mapping[str, Sink] | Iterable[tuple[str, Sink]]) -> None:
-    """Hand a batch to every sink in name order, computing it once."""
+def run_sinks(
+    batch: DataFrame, sinks: Mapping[str, Sink] | Iterable[tuple[str, Sink]], done: Callable[[str], None] = lambda name: None
+) -> None:
+    """Hand a batch to every sink in name order; ``done`` hears of each that has taken it. For
+    several sinks the batch is written once to shared storage, from where each reads it."""
     ordered = sorted(dict(sinks).items())
-    if len(ordered) == 1:
-        ordered[0][1](batch)
-        return
-    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    staging = Staging(batch.sparkSession, "sinks") if len(ordered) > 1 else None
     try:
-        for _, sink in ordered:
+        batch = staging.write(batch, "batch") if staging else batch
+        for name, sink in ordered:
             sink(batch)
+            done(name)
     finally:
-        batch.unpersist()
+        if staging:
+            staging.release()

@@ -13,7 +13,7 @@ from sitegrain.constants import TASK_DEFAULTS, USELESS_MAX_CHARS, USELESS_PHRASE
 from sitegrain.functions import urls as U
 from sitegrain.operators.fetch import drop_denied, first_per_key
 from sitegrain.operators.links import LEVELS, check_level, page_links
-from sitegrain.operators.quality import apply_hook, is_blank, is_useless
+from sitegrain.operators.quality import apply_hook, decode_pages, is_blank, is_useless
 from sitegrain.operators.redirects import follow_redirects
 from sitegrain.plans.staging import Staging
 
@@ -47,7 +47,7 @@ class Crawl:
 
     @property
     def results(self) -> DataFrame:
-        bodies = self._pages.select(F.col("url").alias("page_url"), F.col("html").alias("page_text"))
+        bodies = with_text(self._pages).select(F.col("url").alias("page_url"), F.col("_text").alias("page_text"))
         joined = self._kept.select("task_id", "task", "url", "page_url").join(bodies, "page_url").drop("page_url")
         return apply_hook(joined, self._hook)
 
@@ -65,6 +65,14 @@ def task_id(task: Column, level: Column, max_depth: Column) -> Column:
     return F.md5(F.concat_ws("\u0000", task, *[F.coalesce(c, F.lit("")) for c in limits]))
 
 
+def with_text(pages: DataFrame) -> DataFrame:
+    """``url, html`` and the page as ``_text``: the body itself, or decoded where it is bytes."""
+    pages = pages.select("url", "html")
+    if isinstance(pages.schema["html"].dataType, T.BinaryType):
+        return decode_pages(pages, "html", "_text")
+    return pages.withColumn("_text", F.col("html"))
+
+
 def page_graph(
     pages: DataFrame,
     phrases: Sequence[str] = USELESS_PHRASES,
@@ -73,13 +81,14 @@ def page_graph(
     strict_resolve: bool = False,
 ) -> DataFrame:
     """One row per page: ``url_key, url, page_state, links``, links being an array of
-    ``(url, url_key, scope)``. Made by a single scan without a shuffle; bodies end here."""
-    html, url = F.col("html"), F.col("url")
+    ``(url, url_key, scope)``. Made by a single scan without a shuffle; bodies end here.
+    Bodies may be bytes: whether one is blank is seen on its bytes, all else on its text."""
+    text, url = F.col("_text"), F.col("url")
     state = (
-        F.when(is_blank(html), "blank").when(is_useless(html, phrases, max_chars), "useless").otherwise("kept")
+        F.when(is_blank(F.col("html")), "blank").when(is_useless(text, phrases, max_chars), "useless").otherwise("kept")
     )
-    staged = pages.select("url", U.url_key(url).alias("url_key"), state.alias("page_state"), "html")
-    links = page_links("html", "html", "url", keep_port, strict_resolve)
+    staged = with_text(pages).select("url", U.url_key(url).alias("url_key"), state.alias("page_state"), "_text")
+    links = page_links("_text", "_text", "url", keep_port, strict_resolve)
     return staged.filter(F.col("url_key").isNotNull()).select(
         "url_key",
         "url",
@@ -140,7 +149,7 @@ def crawl(
 
     ``seeds(url[, task, level, max_depth])``: a task is its seed URL unless named;
     per-seed limits override the arguments. ``pages(url, html)`` with unique URLs is
-    the snapshot that stands for the network.
+    the snapshot that stands for the network; html may be text, or bytes of any charset.
 
     Links are extracted once into a table of pages laid out by ``url_key``; visited keys
     are a second table, laid out by ``task_id, url_key``, to which each round appends.
@@ -156,7 +165,8 @@ def crawl(
     check_level(level)
     staging = Staging(seeds.sparkSession, "crawl")
     if redirects:
-        pages = staging.write(follow_redirects(pages.select("url", "html")), "pages")
+        texts = with_text(pages).select("url", F.col("_text").alias("html"))
+        pages = staging.write(follow_redirects(texts), "pages")
     denied = {"domains": deny_domains, "hosts": deny_hosts, "urls": deny_urls}
 
     buckets = buckets or int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))

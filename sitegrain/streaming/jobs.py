@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
+from urllib.parse import quote
 from typing import Any
 
 import pandas as pd
@@ -227,8 +228,30 @@ def compact_upserted(
 
 
 def run_sinks_per_batch(stream: DataFrame, sinks: Mapping[str, Sink], checkpoint: str) -> None:
-    """Hand every micro-batch to the sinks in name order."""
-    _finish(stream.writeStream.foreachBatch(lambda batch, _: run_sinks(batch, sinks)), checkpoint)
+    """Hand every micro-batch to the sinks in name order.
+
+    A sink that has taken a batch is noted in a ledger inside the checkpoint, which belongs to one
+    query. When a batch that failed is run again, only the sinks without a note get it; one that
+    failed midway sees its rows again.
+    """
+    spark = stream.sparkSession
+
+    def note(batch_id: int, name: str):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/sinks/{batch_id}/{quote(name, safe='')}")
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+    def noted(batch_id: int, name: str) -> bool:
+        files, path = note(batch_id, name)
+        return files.exists(path)
+
+    def hand_on(batch: DataFrame, batch_id: int) -> None:
+        def done(name: str) -> None:
+            files, path = note(batch_id, name)
+            files.createNewFile(path)
+
+        run_sinks(batch, {n: s for n, s in sinks.items() if not noted(batch_id, n)}, done)
+
+    _finish(stream.writeStream.foreachBatch(hand_on), checkpoint)
 
 
 def count_by(stream: DataFrame, *keys: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """The walk: a hand-made web graph, variants, and random graphs against plain Python."""
 
+import base64
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from sitegrain.errors import DuplicateNameError
 from sitegrain.operators import fetch, routing
 from sitegrain.plans.crawl import crawl, crawl_stats, fetch_log_lines, write_visits
 from sitegrain.plans.dispatch import crawl_tasks
@@ -199,3 +201,41 @@ def test_handlers_share_one_table_of_bodies(spark, pages, tmp_path):
     assert got["b1"] == {ROOT: text[ROOT + "/"]}
     assert [r.url for r in spark.read.parquet(str(tmp_path / "saved")).collect()] == [ROOT + "/e"]
     walk.release()
+
+
+def test_walks_over_bytes(spark, seed):
+    text = [
+        (ROOT + "/", "한국어 문서입니다. 오늘은 날씨가 좋습니다. " + A("/a", "/b", "/c"), "euc-kr"),
+        (ROOT + "/a", "Größe und Straße " + A("/d"), "utf-16"),
+        (ROOT + "/b", "", "utf-8"),
+        (ROOT + "/c", "404 Not Found", "utf-8"),
+        (ROOT + "/d", "ende", "utf-8"),
+    ]
+    as_bytes = spark.createDataFrame([(u, bytearray(t.encode(c))) for u, t, c in text], "url string, html binary")
+    as_text = spark.createDataFrame([(u, t) for u, t, _ in text], "url string, html string")
+    walks = [crawl(seed, pages) for pages in (as_bytes, as_text)]
+    found = [sorted((r.url, r.depth, r.outcome, r.page_state or "") for r in w.visits.collect()) for w in walks]
+    assert found[0] == found[1] and (ROOT + "/b", 1, "success", "blank") in found[0] and (ROOT + "/d", 2, "success", "kept") in found[0]
+    texts = [{r.url: r.page_text for r in w.results.collect()} for w in walks]
+    assert texts[0] == texts[1] and len(texts[0]) == 3
+    frontier = spark.createDataFrame([(ROOT + "/a",), (ROOT + "/nope",), ("tel:1",), (None,)], "url string")
+    got = {r.url: (r.outcome, r.page_text) for r in fetch.fetch(frontier, as_bytes, body="html").collect()}
+    assert got == {ROOT + "/a": ("success", text[1][1]), ROOT + "/nope": ("failed", None), "tel:1": ("invalid", None), None: ("invalid", None)}
+
+
+def test_save_options_of_tasks_and_shared_sinks(spark, pages, tmp_path):
+    registry, seen = routing.Registry(), []
+    registry.register("spider")
+    registry.register("a", sinks={"own": lambda b: seen.append("own")})
+    registry.add_sink("some", lambda b: seen.append(("some", b.count())), ["a"])
+    rows = [(ROOT + "/e", 0, 0, "", True, "x/y"), (ROOT + "/d", 0, 0, "", False, None), (ROOT + "/d", 0, 0, "", True, "x/y"), (ROOT + "/c", 0, 0, "a", True, None)]
+    tasks = spark.createDataFrame(rows, "url string, level int, max_depth int, spider string, bs64 boolean, base_output_dir string")
+    crawl_tasks(tasks, pages, registry, str(tmp_path / "saved")).release()
+    assert seen == ["own", ("some", 1)]
+    b64 = lambda u: base64.b64encode(u.encode()).decode()
+    got = sorted((r.base_output_dir, r.host, r.file_name) for r in spark.read.parquet(str(tmp_path / "saved")).collect())
+    assert got == [("output", "h.com", "http:{{h.com{d".replace(":", "}")), ("x/y", "h.com", b64(ROOT + "/d")), ("x/y", "h.com", b64(ROOT + "/e"))]
+    registry.add_sink("own", lambda b: None)
+    with pytest.raises(DuplicateNameError):
+        registry.sinks_of("a")
+    assert list(registry.sinks_of("spider")) == ["own"]

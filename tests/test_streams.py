@@ -74,6 +74,29 @@ def test_task_files_and_sinks(spark, tmp_path):
     assert seen == [("json", "a"), ("reject", None), ("url", "b"), "z"]
 
 
+def test_a_sink_takes_a_batch_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.txt").write_text("a\nb\n")
+    seen, broken = [], [True]
+
+    def second(d):
+        if broken:
+            broken.clear()
+            raise OSError("full")
+        seen.append(("second", d.count()))
+
+    sinks = {"1 first/x": lambda d: seen.append(("first", d.count())), "2": second}
+    stream = lambda: jobs.stream_tasks(spark, str(tmp_path / "in"), max_files=5).select("kind", "url")
+    with pytest.raises(Exception, match="full"):
+        jobs.run_sinks_per_batch(stream(), sinks, str(tmp_path / "checkpoint"))
+    assert seen == [("first", 2)]
+    jobs.run_sinks_per_batch(stream(), sinks, str(tmp_path / "checkpoint"))
+    assert seen == [("first", 2), ("second", 2)]
+    (tmp_path / "in" / "2.txt").write_text("c\n")
+    jobs.run_sinks_per_batch(stream(), sinks, str(tmp_path / "checkpoint"))
+    assert seen[2:] == [("first", 1), ("second", 1)]
+
+
 def walked(rows, age):
     """Rows of (key, seconds) that are let through."""
     out, last = [], {}
