@@ -50,7 +50,7 @@ def test_links_stream_like_batch(spark, sf_dir, tmp_path):
     assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(links.extract_links(pages).collect())
 
 
-@pytest.mark.parametrize("name", ["stream_links", "stream_sinks"])
+@pytest.mark.parametrize("name", ["stream_links", "stream_sinks", "stream_upsert_pages"])
 def test_queries_on_a_table_of_several_files(spark, sf_dir, tmp_path, name):
     spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
