@@ -23,16 +23,20 @@ def page_index(pages: DataFrame, url: str = "url", *extra: str) -> DataFrame:
     )
 
 
-def fetch(frontier: DataFrame, pages: DataFrame, url: str = "url", body: str | None = None) -> DataFrame:
+def fetch(
+    frontier: DataFrame, pages: DataFrame, url: str = "url", body: str | None = None, first: str | None = None
+) -> DataFrame:
     """Frontier rows with ``page_url`` and ``outcome``: ``success`` where the snapshot
     has the key, else ``failed``; ``invalid`` for URLs that have no key.
 
     ``body`` names the column of ``pages`` that comes along as ``body``, text or bytes, with
     ``page_text``, the same decoded; null where nothing was fetched. Keys meet first, bodies last.
+    Of pages of one URL the one with the least ``first``, a column of ``pages``, counts, then the least body.
     """
     if body is not None:
         found = fetch(frontier, pages.select(F.col("url")), url)
-        bodies = pages.select(F.col("url").alias("page_url"), F.col(body).alias("body"))
+        order = F.struct(*[F.col(c) for c in (first, body) if c is not None])
+        bodies = pages.groupBy(F.col("url").alias("page_url")).agg(F.min_by(F.col(body), order).alias("body"))
         if isinstance(bodies.schema["body"].dataType, T.BinaryType):
             bodies = decode_pages(bodies, "body", "page_text")
         else:

@@ -239,3 +239,12 @@ def test_save_options_of_tasks_and_shared_sinks(spark, pages, tmp_path):
     with pytest.raises(DuplicateNameError):
         registry.sinks_of("a")
     assert list(registry.sinks_of("spider")) == ["own"]
+
+
+def test_fetch_takes_one_page_of_a_url(spark):
+    rows = [(3, "http://x.com/a", "z"), (1, "http://x.com/a", "y"), (2, "http://x.com/a", "x"), (4, "http://x.com/b", "b")]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    frontier = spark.createDataFrame([("t", "http://x.com/a/"), ("t", "http://x.com/a"), ("t", "http://x.com/c")], "task string, url string")
+    bodies = lambda **first: sorted((r.url[12:], r.body) for r in fetch.fetch(frontier, pages, body="html", **first).collect())
+    assert bodies(first="page_id") == [("/a", "y"), ("/a/", "y"), ("/c", None)]
+    assert bodies() == [("/a", "x"), ("/a/", "x"), ("/c", None)]
