@@ -183,3 +183,19 @@ def test_following_takes_the_first_target_that_exists(spark):
     assert got["/q"] == ('<head><meta content="0;url=/gone"></head>', None)
     assert got["/r"] == (both, "meta")
     assert got["/n"] == (None, None)
+
+
+def test_following_with_several_pages_of_a_url(spark):
+    to = lambda target: f'<head><meta content="0;url={target}"></head>'
+    rows = [
+        (1, "http://h.com/a", to("/b")),
+        (2, "http://h.com/a", to("/c/")),
+        (3, "http://h.com/a", "stays"),
+        (4, "http://h.com/b", "b one"),
+        (5, "http://h.com/b", "b two"),
+        (6, "http://h.com/c", "c"),
+        (7, "http://h.com/c/", "c slash"),
+    ]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = sorted((r.page_id, r.html) for r in redirects.follow_redirects(df).collect())
+    assert got == [(1, "b one"), (1, "b two"), (2, "c slash"), (3, "stays"), (4, "b one"), (5, "b two"), (6, "c"), (7, "c slash")]
