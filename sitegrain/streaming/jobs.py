@@ -15,7 +15,7 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -84,8 +84,15 @@ def _one_per_instant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield from firsts.rename_columns({"_rest_first": "_rest"}).select(t.column_names).combine_chunks().to_batches()
 
 
+def _as_grouped(stream: DataFrame, key: str) -> Column:
+    """A key column in which equal values are written alike: zero has no sign."""
+    of = stream.schema[key].dataType
+    plain = F.col(f"`{key}`")
+    return (F.when(plain == 0, F.lit(0).cast(of)).otherwise(plain) if isinstance(of, T.FractionalType) else plain).alias(key)
+
+
 def dedup_tasks(
-    stream: DataFrame, keys: Sequence[str], time: str, max_age_seconds: int = TASK_MAX_AGE_SECONDS
+    stream: DataFrame, keys: Sequence[str], time: str, max_age_seconds: int = TASK_MAX_AGE_SECONDS, buckets: int = 4096
 ) -> DataFrame:
     """Tasks without repeats: a row is dropped if the last row of its key that was let through is
     less than ``max_age_seconds`` before it. Messages older than that behind the newest of earlier
@@ -96,36 +103,44 @@ def dedup_tasks(
     order give the same result however they are cut into micro-batches. Rows of one key and
     instant are combined before the shuffle (the least of their other columns stays); further apart,
     any of them may be the next to be let through, so none can be left out before the state is known.
+
+    Keys are walked by ``buckets`` of their hash, each with the times of its keys as its state, since a call of Python
+    for every key costs far more than its rows. A micro-batch reads and writes the state of the buckets it touches.
+    A checkpoint belongs to one number of buckets.
     """
     keys, rest = list(keys), [c for c in stream.columns if c not in keys and c != time]
     age = max_age_seconds * 1_000_000
     packed = stream.where(F.col(time).isNotNull()).select(
-        *keys, F.col(time).cast("timestamp").alias("_time"), F.to_json(F.struct(*rest), _JSON).alias("_rest") if rest else F.lit("{}").alias("_rest")
+        F.to_json(F.struct(*[_as_grouped(stream, k) for k in keys]), _JSON).alias("_key"),
+        F.col(time).cast("timestamp").alias("_time"),
+        F.to_json(F.struct(*rest), _JSON).alias("_rest") if rest else F.lit("{}").alias("_rest"),
     )
     timed = packed.mapInArrow(_one_per_instant, packed.schema).withWatermark("_time", f"{max_age_seconds} seconds")
-    timed = timed.withColumn("_us", F.unix_micros("_time"))
-    out = T.StructType([*(stream.schema[k] for k in keys), T.StructField("_us", T.LongType()), T.StructField("_rest", T.StringType())])
-
-    def walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    timed = timed.withColumn("_us", F.unix_micros("_time")).withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)))
+
+    def walk(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, passed = dict(zip(*state.get, strict=True)) if state.exists else {}, []
+        if not state.hasTimedOut:
+            rows = pd.concat([f[["_key", "_us", "_rest"]] for f in frames]).sort_values(["_us", "_rest"])
+            for i, (key, us) in enumerate(zip(rows["_key"].tolist(), rows["_us"].tolist(), strict=True)):
+                if key not in last or us - last[key] >= age:
+                    passed.append(i)
+                    last[key] = us
+        now = state.getCurrentWatermarkMs()
+        last = {key: us for key, us in last.items() if (us + age) // 1000 >= now}
+        if last:
+            state.update((list(last), list(last.values())))
+            state.setTimeoutTimestamp((max(last.values()) + age) // 1000 + 1)
+        elif state.exists:
             state.remove()
-            return
-        rows = pd.concat([f[["_us", "_rest"]] for f in frames]).sort_values(["_us", "_rest"])
-        last = state.get[0] if state.exists else None
-        passed = []
-        for i, us in enumerate(rows["_us"].tolist()):
-            if last is None or us - last >= age:
-                passed.append(i)
-                last = us
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + age) // 1000, state.getCurrentWatermarkMs()) + 1)
         if passed:
-            kept = rows.iloc[passed].reset_index(drop=True)
-            yield pd.concat([pd.DataFrame({k: pd.Series([v] * len(kept), dtype=object) for k, v in zip(keys, key, strict=True)}), kept], axis=1)
+            yield rows.iloc[passed].reset_index(drop=True)
 
-    walked = timed.groupBy(*keys).applyInPandasWithState(walk, out, "last long", "append", "EventTimeTimeout")
-    of_rest = F.from_json("_rest", T.StructType([stream.schema[c] for c in rest]), _JSON) if rest else None
-    columns = {time: F.timestamp_micros("_us"), **{k: F.col(f"`{k}`") for k in keys}, **{c: of_rest[c] for c in rest}}
+    walked = timed.groupBy("_bucket").applyInPandasWithState(
+        walk, "_key string, _us long, _rest string", "keys array<string>, last array<long>", "append", "EventTimeTimeout"
+    )
+    of_key, of_rest = (F.from_json(c, T.StructType([stream.schema[k] for k in names]), _JSON) for c, names in (("_key", keys), ("_rest", rest)))
+    columns = {time: F.timestamp_micros("_us"), **{k: of_key[k] for k in keys}, **{c: of_rest[c] for c in rest}}
     return walked.select(*[columns[c].alias(c) for c in stream.columns])
 
 

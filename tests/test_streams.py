@@ -138,6 +138,23 @@ def test_dedup_in_one_batch_and_in_ten(spark, tmp_path, files):
     assert all(r.big == 2**60 + int((r.ts - t0).total_seconds()) and r.nothing is None for r in out)
 
 
+def test_dedup_calls_python_once_a_bucket(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    keys = [(i, None if i % 3 else "x", -0.0 if i % 2 else 0.0) for i in range(300)] + [(0, "x", -0.0)]
+    files = [[(*k, t0 + timedelta(seconds=s)) for k in keys for s in seconds] for seconds in ((0, 3, 12), (15, 22), (90,), (95, 101))]
+    schema = "i int, s string, f double, ts timestamp"
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.stream_table(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+        deduped = jobs.dedup_tasks(stream, ["i", "s", "f"], "ts", 10, buckets=5)
+        jobs.run_append(deduped, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    out = [(r.i, r.s, r.f, (r.ts - t0).seconds) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(out, key=repr) == sorted(((i, s, 0.0, t) for i, s, _ in keys[:300] for t in (0, 12, 22, 90, 101)), key=repr)
+    state = spark.read.format("statestore").load(str(tmp_path / "checkpoint"))
+    assert 0 < state.count() <= 5
+    assert state.selectExpr("explode(value.groupState.keys)").count() == 300
+
+
 def test_page_upsert_replaces_and_replays(spark, tmp_path):
     t0, schema = datetime(2024, 1, 1), "task string, url string, page_text string, update_time timestamp"
     path, checkpoint = str(tmp_path / "store"), str(tmp_path / "checkpoint")
