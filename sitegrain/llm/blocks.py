@@ -115,11 +115,12 @@ def overlaps(token: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def linked_sets(similar: int) -> Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]:
-    """For ``by_cell``: spanning forest of sets (``tokens``, packed 64-bit numbers) whose Jaccard
+    """For ``by_cell``: spanning forest of sets (``tokens``, 64-bit numbers, packed or in a list) whose Jaccard
     similarity is at least ``similar`` hundredths, by exact overlaps."""
 
     def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t["tokens"]]
+        listed = pa.types.is_list(t["tokens"].type)
+        sets = [x.values.to_numpy().view(np.uint64) if listed else np.frombuffer(x.as_py(), np.uint64) for x in t["tokens"]]
         n = np.array([len(x) for x in sets], np.int64)
         if len(sets) == 2:
             both = len(np.intersect1d(*sets, assume_unique=True))

@@ -164,10 +164,10 @@ def _rows(k: int, wanted) -> Callable:
             for lo, hi in slices(batch["text"]):
                 part = batch.slice(lo, hi - lo)
                 token, first = shingles(part["text"], k)
-                sets = [token[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+                sketches = [sketch(token[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], part["_k"], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([sketch(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(token.view(np.int64)))],
-                    ["doc_id", "_k", "tokens", "sketch", "columns"],
+                    [part["g"], part["doc_id"], part["_k"], pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(token.view(np.int64)))],
+                    ["g", "doc_id", "_k", "sketch", "columns"],
                 )
 
     return run
@@ -222,7 +222,7 @@ def _links_inside(groups: DataFrame, rows: DataFrame, similar: int) -> DataFrame
     """``a, b``: links that connect what is linked inside each group (``c, root``), by exact products."""
     sized = groups.join(rows.select("c", "n"), "c")
     blocks = F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES))).cast("long").alias("blocks")
-    placed = groups.join(sized.groupBy("root").agg(blocks), "root").join(rows.select("c", "tokens"), "c")
+    placed = groups.join(sized.groupBy("root").agg(blocks), "root").join(rows.select("c", F.col("columns").alias("tokens")), "c")
     return by_cell(deal(placed, "root", "c", F.col("blocks")), linked_sets(similar), ["c", "tokens"])
 
 
@@ -247,11 +247,12 @@ def candidates(docs: DataFrame, sets: DataFrame, stage: Staging, k: int, similar
     g = F.xxhash64("doc_id", "_k").alias("g")
     wanted = docs.sparkSession.sparkContext.broadcast(bit_table(left.select(g)))
     keyed = docs.where("text IS NOT NULL").select("doc_id", "text", text_key("text").alias("_k")).select("*", g)
-    found = keyed.mapInArrow(_rows(k, wanted), f"doc_id {dict(docs.dtypes)['doc_id']}, _k binary, tokens binary, sketch binary, columns array<long>").alias("d")
-    both = found.join(left.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d._k") == F.col("l._k")))
-    # Rows that repeat an id and a text are one.
-    one_of = F.first(F.struct("tokens", "sketch", "columns")).alias("x")
-    return both.select("c", "n", "tokens", "sketch", "columns").groupBy("c", "n").agg(one_of).select("c", "n", "x.*")
+    found = keyed.mapInArrow(_rows(k, wanted), f"g long, doc_id {dict(docs.dtypes)['doc_id']}, _k binary, sketch binary, columns array<long>").alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d._k") == F.col("l._k"))
+    both = found.join(left.select("*", g).alias("l"), F.col("d.g") == F.col("l.g"))
+    # Rows that repeat an id and a text are one. They lie by g as the join left them, so shingles move once.
+    one_of = F.first(F.when(same, F.struct("sketch", "columns")), ignorenulls=True).alias("x")
+    return both.groupBy("d.g", "c", "n").agg(one_of).where("x IS NOT NULL").select("c", "n", "x.*")
 
 
 def _postings(rows: DataFrame, stage: Staging, similar: int) -> DataFrame:

@@ -165,6 +165,24 @@ def test_blocks_of_columns_and_groups(docs, stage, monkeypatch):
     assert {i: min(ids) for ids in least.values() for i in ids} == components_of(texts)
 
 
+def test_shingles_of_rows_are_moved_and_kept_once(docs, stage, spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    d = docs(*[(i, " ".join(words[: 40 - i])) for i in range(4)], (0, " ".join(words)))
+    seen = []
+    real = ngram_join.candidates
+    monkeypatch.setattr(ngram_join, "candidates", lambda *a: seen.append(real(*a)) or seen[0])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ngram_join.link_components(d, stage)
+        nodes = seen[0]._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert seen[0].columns == ["c", "n", "sketch", "columns"]
+    # Exchanges between the rows and their result: that of the join on either side, none for the aggregate.
+    assert nodes.split("MapInArrow")[0].count("Exchange") <= 1
+    assert sorted(r["n"] for r in seen[0].collect()) == [33, 34, 35, 36]
+
+
 def test_keep_one_keeps_every_column(docs, stage):
     d = docs((1, "a b c d e f", "en", "s"), (2, "a b c d e f", "en", "s"), (3, None, "en", "s")).selectExpr("*", "7 _k", "8 row", "9 gone", "map('a', doc_id) m")
     out = ngram_join.keep_one(d, stage)
