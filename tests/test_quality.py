@@ -83,6 +83,19 @@ def test_short_and_long_texts_in_charsets(spark, markup):
     assert wrong == []
 
 
+def test_words_of_accented_letters_alone_are_latin(spark):
+    texts = [
+        "Anaieux éé èçou éç.",
+        "Onqueque de èê de, du.",
+        "Çèen en vich de.",
+        "Le ouou de èvitre, pour la èéè de pour éè de.",
+        "Pfeinung ensttzer von, die ää des auung dem in.",
+        "ÇÉ!! ÊELLE!! OURÉ!! QUECHLE,!! ÈÊ.\nDE!! AU!! È!! ÈÉÊ!! ÉQUETION,!! LES!! RÉÉ!! EAUEAURÉ!!",
+    ]
+    df = spark.createDataFrame([(t, t.encode("latin-1")) for t in texts], "want string, content binary")
+    assert [(r.want, r.page_text) for r in quality.decode_pages(df).collect() if r.page_text != r.want] == []
+
+
 def test_bytes_of_no_charset_are_empty(spark):
     cut = [IN_CHARSETS["big5",].encode("big5")[:-1], "größe".encode() + b"\xc3 und " + "größer".encode(), b"\xff\xfe\x00"]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cut)], "i int, content binary")
